@@ -86,3 +86,72 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def int_lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType = pa.int32()) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+
+
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def letter_table() -> np.ndarray:
+    """For every code point its lower-case form, or 0 unless that is a Unicode letter or number; built once per process."""
+    if "t" not in _TABLES:
+        import unicodedata
+
+        out = np.zeros(0x110000, np.uint32)
+        for i in range(0x110000):
+            c = chr(i)
+            if unicodedata.category(c)[0] in "LN":
+                out[i] = ord(c.lower()[0])
+        out[0x130] = ord("i")
+        _TABLES["t"] = out
+    return _TABLES["t"]
+
+
+def joined_letters(*columns: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the columns' texts joined, lower-cased and with letters and numbers only: code points and offsets; null as empty."""
+    table = letter_table()
+    if len(columns) > 1:
+        import pyarrow.compute as pc
+
+        filled = [pc.fill_null(c, "") for c in columns]
+        col = pc.binary_join_element_wise(*filled, "\n")
+    else:
+        col = columns[0]
+    cp, off = string_parts(col)
+    low = table[np.minimum(cp, 0x10FFFF)]
+    kept = np.concatenate([[0], np.cumsum(low > 0)])
+    return low[low > 0], kept[off]
+
+
+def text_hashes(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every text, as int64."""
+    if len(off) < 2:
+        return np.zeros(0, np.int64)
+    pos = np.arange(len(cp), dtype=np.uint64) - np.repeat(off[:-1], np.diff(off)).astype(np.uint64)
+    x = mix64((cp.astype(np.uint64) << np.uint64(32)) ^ (pos * np.uint64(0x9E3779B97F4A7C15)))
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+    return mix64((run[off[1:]] - run[off[:-1]]) ^ (np.diff(off).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))).view(np.int64)
+
+
+def strings(cp: np.ndarray, off: np.ndarray) -> pa.Array:
+    """The texts as an Arrow string column."""
+    width = np.where(cp < 0x80, 1, np.where(cp < 0x800, 2, np.where(cp < 0x10000, 3, 4)))
+    at = np.concatenate([[0], np.cumsum(width)])[off]
+    data = cp.astype(np.uint32).tobytes().decode("utf-32-le").encode("utf-8")
+    return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data)).cast(pa.string())
+
+
+def slices(batch: pa.RecordBatch, rows: int = 4096):
+    for i in range(0, len(batch), rows):
+        yield batch.slice(i, rows)
+
+
+def pack_cells(x: np.ndarray) -> bytes:
+    import zlib
+
+    return zlib.compress(x.tobytes(), 1)
+
+
+def unpack_cells(x: bytes, kind) -> np.ndarray:
+    import zlib
+
+    return np.frombuffer(zlib.decompress(x), kind)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import encoding, packing, proportional, splitting
+from . import encoding, near_duplicates, packing, proportional, splitting
 
 
 def queries() -> dict:
     return {
+        "p1_groups": near_duplicates.p1_groups,
+        "p1_found": near_duplicates.p1_found,
         "p4_sample": proportional.p4_sample,
         "p4_report": proportional.p4_report,
         "p4_found": proportional.p4_found,
