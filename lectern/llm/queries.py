@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import encoding, near_duplicates, packing, proportional, splitting
+from . import encoding, near_duplicates, overlap, packing, proportional, splitting
 
 
 def queries() -> dict:
     return {
         "p1_groups": near_duplicates.p1_groups,
         "p1_found": near_duplicates.p1_found,
+        "p3_report": overlap.p3_report,
+        "p3_found": overlap.p3_found,
         "p4_sample": proportional.p4_sample,
         "p4_report": proportional.p4_report,
         "p4_found": proportional.p4_found,
