@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import encoding, near_duplicates, overlap, packing, proportional, splitting
+from . import encoding, near_duplicates, overlap, packing, pair_defects, proportional, splitting
 
 
 def queries() -> dict:
     return {
         "p1_groups": near_duplicates.p1_groups,
         "p1_found": near_duplicates.p1_found,
+        "p2_scores": pair_defects.p2_scores,
+        "p2_found": pair_defects.p2_found,
         "p3_report": overlap.p3_report,
         "p3_found": overlap.p3_found,
         "p4_sample": proportional.p4_sample,
