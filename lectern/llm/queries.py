@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encoding, near_duplicates, overlap, packing, pair_defects, proportional, splitting
+from . import abuse, encoding, near_duplicates, overlap, packing, pair_defects, proportional, splitting
 
 
 def queries() -> dict:
@@ -20,6 +20,9 @@ def queries() -> dict:
         "p5_found": splitting.p5_found,
         "p6_ids": encoding.p6_ids,
         "p7_containers": packing.p7_containers,
+        "p8_scores": abuse.p8_scores,
+        "p8_rates": abuse.p8_rates,
+        "p8_found": abuse.p8_found,
     }
 
 
