@@ -1,18 +1,638 @@
-"""Named queries over the test tables and their SQL."""
+"""Named queries over the test tables and, where SQL can state them, their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .functions import external as X
+from .functions import names as N
+from .functions import text as T
+from .functions import vectors as V
+from .operators import curate as C
+from .operators import runs as R
+from .operators import similar as S
+from .operators import splits as P
+from .operators import training as M
+from .plans import curation
+from .sources import config, readers, sinks
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/qa_pairs.parquet").groupBy("type").agg(F.count("*").alias("n"))
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        _QUERIES[fn.__name__] = fn
+        if sql is not None:
+            _SQL[fn.__name__] = sql
+        return fn
 
+    return add
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- the test tables as the reference's concepts, in both languages
+
+BL = r"[\t-\r\x{1c}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{BL}|{BL}$', '', 'g')"
+
+
+QA = "qa AS (SELECT DISTINCT row_id, _file, line_no, type, question, answer FROM qa_pairs WHERE row_id IS NOT NULL)"
+QV = f"""{QA}, qv AS (SELECT row_id, _file, line_no, {_strip("coalesce(type,'')")} AS type, {_strip('question')} AS question, {_strip('answer')} AS answer
+FROM qa WHERE question IS NOT NULL AND answer IS NOT NULL AND {_strip('question')} <> '' AND {_strip('answer')} <> '')"""
+MSG = """msg AS (SELECT DISTINCT message_id, conv_id, turn, content, CASE WHEN r IN ('user','assistant','system') THEN r WHEN r IN ('bot','ai','model') THEN 'assistant' WHEN r = 'human' THEN 'user' ELSE 'other' END AS role
+FROM (SELECT message_id, conv_id, turn, content, lower(trim(coalesce(role,''))) AS r FROM chat_messages WHERE message_id IS NOT NULL))"""
+VEC = "vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+
+
+def qa(spark, sf_dir) -> DataFrame:
+    return C.once(table(spark, sf_dir, "qa_pairs"), "row_id").drop("created_at")
+
+
+def valid(spark, sf_dir) -> DataFrame:
+    return C.valid(qa(spark, sf_dir))
+
+
+def messages(spark, sf_dir) -> DataFrame:
+    return C.once(table(spark, sf_dir, "chat_messages"), "message_id")
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings")
+
+
+def qa_vectors(spark, sf_dir) -> DataFrame:
+    """Even vectors as questions, the next one as answer."""
+    v = vectors(spark, sf_dir)
+    q = v.where("vec_id % 2 = 0").select("vec_id", "label", F.col("embedding").alias("q"))
+    a = v.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("a"))
+    return q.join(a, "vec_id")
+
+
+QAVEC = f"{VEC}, qav AS (SELECT q.vec_id, q.label, q.v AS q, a.v AS a FROM vec q JOIN vec a ON a.vec_id = q.vec_id + 1 WHERE q.vec_id % 2 = 0)"
+
+
+# --- reading, validation, normalisation
+
+
+@query(f"WITH {MSG}, n AS (SELECT *, lead(role) OVER w AS nr, lead(turn) OVER w AS nt, lead(content) OVER w AS answer FROM msg WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, content AS question, answer FROM n WHERE role = 'user' AND nr = 'assistant' AND nt = turn + 1")
+def chat_pairs(spark, sf_dir):
+    return M.adjacent_pairs(messages(spark, sf_dir))
+
+
+@query(f"WITH {QA} SELECT row_id, CASE WHEN question IS NULL THEN 'question is no text' WHEN {_strip('question')} = '' THEN 'question is blank' WHEN answer IS NULL THEN 'answer is no text' WHEN {_strip('answer')} = '' THEN 'answer is blank' ELSE 'ok' END AS reason FROM qa")
+def validate_reasons(spark, sf_dir):
+    return qa(spark, sf_dir).select("row_id", F.coalesce(C.reason(F.col("question"), F.col("answer")), F.lit("ok")).alias("reason"))
+
+
+@query(f"WITH {QV} SELECT row_id, _file, line_no, type, question, answer FROM qv")
+def valid_pairs(spark, sf_dir):
+    return valid(spark, sf_dir).select("row_id", "_file", "line_no", "type", "question", "answer")
+
+
+@query(f"WITH {QA} SELECT row_id, {_strip("coalesce(type,'')")} AS type, question IS NOT NULL AND answer IS NOT NULL AND {_strip("coalesce(question,'')")} <> '' AND {_strip("coalesce(answer,'')")} <> '' AS valid FROM qa")
+def json_validate(spark, sf_dir):
+    """Rows written as JSON lines and validated as such: only JSON strings count as text."""
+    lines = qa(spark, sf_dir).select("row_id", F.to_json(F.struct("type", "question", "answer"), {"ignoreNullFields": "false"}).alias("line"))
+    return readers.parsed(lines).select("row_id", F.coalesce("type", F.lit("")).alias("type"), F.col("reason").isNull().alias("valid"))
+
+
+@query(f"WITH {QA}, l AS (SELECT _file, line_no, question IS NOT NULL AND answer IS NOT NULL AND {_strip("coalesce(question,'')")} <> '' AND {_strip("coalesce(answer,'')")} <> '' AS ok FROM qa) SELECT _file AS path, CAST(count(*) FILTER (ok) AS BIGINT) AS valid, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS skipped FROM l GROUP BY _file")
+def json_skipped(spark, sf_dir):
+    lines = qa(spark, sf_dir).select(F.col("_file").alias("path"), F.to_json(F.struct("type", "question", "answer"), {"ignoreNullFields": "false"}).alias("line"))
+    return readers.skipped(readers.parsed(lines))
+
+
+@query("SELECT doc_id, CASE WHEN file_name IS NULL THEN NULL ELSE split_part(regexp_replace(regexp_replace(file_name, '^.*/', ''), '(.)\\.[^.]*$', '\\1'), ' ', 1) END AS chapter FROM documents")
+def chapter_tags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.chapter_tag(F.col("file_name")).alias("chapter"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text,''), '\\r\\n|\\r|\\n'), lambda x: regexp_replace(x, '{BL}$', '')) AS ls FROM documents),
+n AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM l), s AS (SELECT *, sum(CASE WHEN starts_with(x, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS sec FROM n)
+SELECT doc_id, CAST(sec - 1 AS INTEGER) AS section_no, md5(string_agg(x, chr(10) ORDER BY i)) AS hash FROM s WHERE sec > 0 GROUP BY doc_id, sec""")
+def h2_sections(spark, sf_dir):
+    return readers.sections(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "section_no", F.md5("section").alias("hash"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text,''), '\\r\\n|\\r|\\n'), lambda x: regexp_replace(x, '{BL}$', '')) AS ls FROM documents),
+k AS (SELECT doc_id, len(list_filter(ls, lambda x: starts_with(x, '## '))) AS k FROM l), t(type, total, whole) AS (VALUES ('定义解释类',100,100),('逻辑推理类',300,50),('定义关系类',200,100),('实际应用类',100,50))
+SELECT doc_id, CAST(s AS INTEGER) AS section_no, type, CAST(floor(total / k) AS INTEGER) AS n FROM k, t, generate_series(0, k - 1) g(s) WHERE k > 0 UNION ALL SELECT doc_id, -1, type, whole FROM k, t WHERE k > 0""")
+def quota_plan(spark, sf_dir):
+    return P.quota_plan(readers.sections(table(spark, sf_dir, "documents"), "doc_id", "text").drop("section"), "doc_id")
+
+
+@query()
+def latex_strip(spark, sf_dir):
+    return qa(spark, sf_dir).select("row_id", T.latex_strip(F.col("question")).alias("question"))
+
+
+_STOPS = ",".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@query(f"WITH {QA}, p AS (SELECT row_id, trim(regexp_replace(regexp_replace(question, '[^\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM qa) SELECT row_id, t AS squeezed, array_to_string(list_filter(string_split(t, ' '), lambda w: length(w) > 1 AND NOT list_contains([{_STOPS}], w)), ' ') AS words FROM p")
+def preprocess_words(spark, sf_dir):
+    t = T.squeeze(T.kept_letters(F.col("question")))
+    return qa(spark, sf_dir).select("row_id", t.alias("squeezed"), F.array_join(T.without_stops(T.tokens(t)), " ").alias("words"))
+
+
+@query()
+def preprocess_text(spark, sf_dir):
+    return qa(spark, sf_dir).select("row_id", T.preprocess(F.col("question")).alias("words"))
+
+
+@query(f"WITH {QA} SELECT row_id, md5(question || '|||' || answer) AS pair_hash, md5(question) || ':' || md5(answer) AS key_hash, CAST(length(question) AS INTEGER) AS q_len, CAST(greatest(length(question), length(answer)) AS INTEGER) AS pair_len FROM qa WHERE question IS NOT NULL AND answer IS NOT NULL")
+def content_hashes(spark, sf_dir):
+    q, a = F.col("question"), F.col("answer")
+    return qa(spark, sf_dir).where("question IS NOT NULL AND answer IS NOT NULL").select("row_id", T.content_hash(q, a).alias("pair_hash"), F.concat_ws(":", F.md5(q), F.md5(a)).alias("key_hash"), F.length(q).alias("q_len"), F.greatest(F.length(q), F.length(a)).alias("pair_len"))
+
+
+@query(f"WITH {QV} SELECT md5(question || '|||' || answer) AS hash, min(row_id) AS first_id, count(*) AS copies FROM qv GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark, sf_dir):
+    return C.exact_duplicates(valid(spark, sf_dir), "row_id", T.content_hash(F.col("question"), F.col("answer")))
+
+
+# --- filters and thresholds
+
+
+@query(f"WITH {QV} SELECT row_id, CAST(length(question) AS INTEGER) AS q, CAST(length(answer) AS INTEGER) AS a FROM qv WHERE greatest(length(question), length(answer)) <= 400 AND length(question) <= 300 AND length(answer) <= 350")
+def length_filter(spark, sf_dir):
+    return C.length_filter(valid(spark, sf_dir), pair=400, question=300, answer=350).select("row_id", F.length("question").alias("q"), F.length("answer").alias("a"))
+
+
+@query(f"WITH {QV}, t AS (SELECT type, max(qa_lower) AS lo, max(qq_upper) AS up FROM type_thresholds GROUP BY type) SELECT row_id, qv.type, coalesce(lo, 0.5) AS qa_lower, coalesce(up, 0.85) AS qq_upper FROM qv LEFT JOIN t ON qv.type = t.type")
+def thresholds(spark, sf_dir):
+    return C.with_thresholds(valid(spark, sf_dir), table(spark, sf_dir, "type_thresholds")).select("row_id", "type", "qa_lower", "qq_upper")
+
+
+@query(f"WITH {QAVEC} SELECT vec_id, label, round({COS.format(a='q', b='a')}, 6) AS qa_sim FROM qav")
+def cosine_qa(spark, sf_dir):
+    return qa_vectors(spark, sf_dir).select("vec_id", "label", F.round(V.cosine(F.col("q"), F.col("a")), 6).alias("qa_sim"))
+
+
+@query(f"WITH {QAVEC}, s AS (SELECT vec_id, label, {COS.format(a='q', b='a')} AS sim FROM qav) SELECT vec_id, round(sim, 6) AS qa_sim FROM s WHERE sim >= CASE WHEN label % 2 = 0 THEN 0.05 ELSE -0.02 END")
+def relevance_filter(spark, sf_dir):
+    rows = qa_vectors(spark, sf_dir).withColumns({"qa_sim": V.cosine(F.col("q"), F.col("a")), "qa_lower": F.when(F.col("label") % 2 == 0, 0.05).otherwise(-0.02)})
+    return C.relevant(rows).select("vec_id", F.round("qa_sim", 6).alias("qa_sim"))
+
+
+# --- scores
+
+
+@query()
+def strip_think(spark, sf_dir):
+    return table(spark, sf_dir, "qa_scores").select("row_id", T.strip_think(F.col("reply")).alias("reply"))
+
+
+_D = "translate(trim(regexp_replace(coalesce(reply,''), '^((?s).*?)<think>(?s).*?</think>', '\\1')), '０１２３４５６７８９', '0123456789')"
+# RE2 has no Unicode word bounds: the last pattern is tried with explicit neighbours
+_G = [f"regexp_extract(x, '{p}', 1)" for p in ('"score"\\s*:\\s*(\\d)', 'score["\\s:=]+\\s*(\\d)', "得分为?\\s*(\\d)", "评分[为:：]?\\s*(\\d)", "^(\\d)$", "(?:^|[^\\pL\\pN_\\pM])([0-5])(?:$|[^\\pL\\pN_\\pM])")]
+_SCORE = "coalesce(" + ", ".join(f"CASE WHEN {g} BETWEEN '0' AND '5' AND length({g}) = 1 THEN CAST({g} AS INTEGER) END" for g in _G) + ")"
+
+
+@query(f"WITH r AS (SELECT row_id, reply, {_D} AS x FROM qa_scores) SELECT row_id, reply, {_SCORE} AS score FROM r")
+def extract_score(spark, sf_dir):
+    return table(spark, sf_dir, "qa_scores").select("row_id", "reply", T.extract_score(F.col("reply")).alias("score"))
+
+
+def _best_scores(spark, sf_dir):
+    s = table(spark, sf_dir, "qa_scores").groupBy("row_id").agg(F.max("score").alias("score"))
+    return qa(spark, sf_dir).join(s, "row_id", "left").select("row_id", "score")
+
+
+_BS = f"{QA}, sc AS (SELECT row_id, max(score) AS score FROM qa_scores GROUP BY row_id), b AS (SELECT qa.row_id, sc.score FROM qa LEFT JOIN sc USING (row_id))"
+
+
+@query(f"WITH {_BS} SELECT coalesce(score, 0) AS score, count(*) AS n FROM b GROUP BY 1")
+def score_distribution(spark, sf_dir):
+    return C.score_distribution(_best_scores(spark, sf_dir))
+
+
+@query(f"WITH {_BS}, d AS (SELECT coalesce(score, 0) AS score, count(*) AS n FROM b GROUP BY 1) SELECT score, n, round(n / sum(n) OVER () * 100, 6) AS percentage, score >= 3 AS qualified FROM d")
+def score_table(spark, sf_dir):
+    return C.score_table(_best_scores(spark, sf_dir)).withColumn("percentage", F.round("percentage", 6))
+
+
+@query(f"WITH {_BS} SELECT row_id, coalesce(score, 0) >= 3 AS kept FROM b")
+def score_filter(spark, sf_dir):
+    return C.score_split(_best_scores(spark, sf_dir), 3).select("row_id", "kept")
+
+
+@query(f"WITH {_BS} SELECT count(*) AS total, count(*) FILTER (coalesce(score,0) >= 3) AS kept, count(*) FILTER (coalesce(score,0) < 3) AS removed FROM b")
+def stage_counts(spark, sf_dir):
+    return C.stage_counts(_best_scores(spark, sf_dir), F.coalesce("score", F.lit(0)) >= 3)
+
+
+@query(f"WITH {QA}, r AS (SELECT row_id, arg_max(reply, struct_pack(a := scored_at, b := reply)) AS reply FROM qa_scores WHERE reply IS NOT NULL GROUP BY row_id), x0 AS (SELECT qa.row_id, question, answer, {_D} AS x FROM qa LEFT JOIN r USING (row_id)) SELECT row_id, CASE WHEN {_strip("coalesce(question,'')")} = '' OR {_strip("coalesce(answer,'')")} = '' THEN 0 ELSE coalesce({_SCORE}, 0) END AS score FROM x0")
+def score_pipeline(spark, sf_dir):
+    replies = table(spark, sf_dir, "qa_scores").where("reply IS NOT NULL")
+    return curation.score_pipeline(qa(spark, sf_dir), replies, 3).select("row_id", "score")
+
+
+# --- counts, histograms, summaries
+
+
+@query(f"WITH {QV} SELECT type, count(*) AS n FROM qv GROUP BY type")
+def type_counts(spark, sf_dir):
+    return C.type_counts(valid(spark, sf_dir))
+
+
+@query(f"WITH {QV}, d AS (SELECT printf('%02d', i) AS chapter FROM range(1, 11) t(i)), ty AS (SELECT DISTINCT type FROM qv WHERE type <> '') SELECT ty.type, d.chapter, count(qv.row_id) AS n FROM ty CROSS JOIN d LEFT JOIN qv ON qv.type = ty.type AND qv._file = d.chapter GROUP BY 1, 2")
+def chapter_counts(spark, sf_dir):
+    return C.chapter_counts(valid(spark, sf_dir))
+
+
+@query(f"WITH {QV} SELECT DISTINCT type FROM qv WHERE type <> ''")
+def distinct_types(spark, sf_dir):
+    return C.distinct_types(valid(spark, sf_dir))
+
+
+def _hist_sql(v: str, by: str | None, bins: int = 12) -> str:
+    g = by or f"'{C.ALL}'"
+    return f"""WITH {QV}, r AS (SELECT {g} AS g, {v} AS v FROM qv), c AS (SELECT least(max(v), {50 * bins}) AS cap FROM r), t AS (SELECT g, count(*) AS total FROM r GROUP BY g),
+b AS (SELECT g, total, cap, i AS bin_no FROM t, c, generate_series(0, CAST(ceil(cap / 50.0) AS BIGINT) - 1) s(i)),
+x AS (SELECT b.g, b.bin_no, (b.bin_no * 50) || ' ~ ' || (b.bin_no * 50 + 50) AS interval, count(r.v) AS n, b.total FROM b LEFT JOIN r ON r.g = b.g AND r.v >= b.bin_no * 50 AND r.v < b.bin_no * 50 + 50 AND r.v < b.cap GROUP BY 1, 2, 3, 5
+UNION ALL SELECT r.g, CAST(ceil(cap / 50.0) AS BIGINT), '>= ' || cap, count(*), total FROM r, c, t WHERE t.g = r.g AND r.v >= cap GROUP BY r.g, cap, total)
+SELECT g AS type, CAST(bin_no AS INTEGER) AS bin_no, interval, n AS count, round(n / total * 100, 6) AS percentage FROM x"""
+
+
+def _hist(df, v, by):
+    return C.length_histogram(df.withColumn("__v", v), "__v", by).withColumn("percentage", F.round("percentage", 6))
+
+
+@query(_hist_sql("length(question)", "type"))
+def len_hist_q(spark, sf_dir):
+    return _hist(valid(spark, sf_dir), F.length("question"), "type")
+
+
+@query(_hist_sql("length(answer)", "type"))
+def len_hist_a(spark, sf_dir):
+    return _hist(valid(spark, sf_dir), F.length("answer"), "type")
+
+
+@query(_hist_sql("greatest(length(question), length(answer))", None))
+def len_hist_pair_all(spark, sf_dir):
+    return _hist(valid(spark, sf_dir), F.greatest(F.length("question"), F.length("answer")), None)
+
+
+@query(f"WITH {QV} SELECT CASE WHEN grouping(type) = 1 THEN '{C.ALL}' ELSE type END AS type, CAST(max(length(question)) AS INTEGER) AS max_q, CAST(max(length(answer)) AS INTEGER) AS max_a, CAST(max(greatest(length(question), length(answer))) AS INTEGER) AS max_pair FROM qv GROUP BY ROLLUP (type)")
+def len_max_rollup(spark, sf_dir):
+    return C.largest_lengths(valid(spark, sf_dir))
+
+
+@query(f"WITH h AS ({_hist_sql('length(question)', 'type')}) SELECT bin_no, interval, round(max(percentage) FILTER (type = '定义解释类'), 2) AS explain, round(max(percentage) FILTER (type = '逻辑推理类'), 2) AS infer FROM h GROUP BY bin_no, interval")
+def len_hist_pivot(spark, sf_dir):
+    h = C.length_histogram(valid(spark, sf_dir).withColumn("__v", F.length("question")), "__v", "type")
+    h = h.withColumn("percentage", F.round("percentage", 6))
+    return C.wide(h, "type", ["定义解释类", "逻辑推理类"]).withColumnsRenamed({"定义解释类": "explain", "逻辑推理类": "infer"})
+
+
+@query(f"WITH {QAVEC}, s AS (SELECT label, {COS.format(a='q', b='a')} AS v FROM qav), b AS (SELECT i AS bin_no, round(i * 0.05, 2) AS lo, round((i + 1) * 0.05, 2) AS hi FROM range(20) t(i)), t AS (SELECT label, count(*) AS total FROM s GROUP BY label) SELECT t.label, CAST(b.bin_no AS INTEGER) AS bin_no, printf('%.2f ~ %.2f', lo, hi) AS interval, count(s.v) AS count, round(count(s.v) / total * 100, 6) AS percentage FROM t CROSS JOIN b LEFT JOIN s ON s.label = t.label AND s.v >= lo AND (s.v < hi OR (bin_no = 19 AND s.v <= hi)) GROUP BY 1, 2, 3, total")
+def sim_hist_005(spark, sf_dir):
+    rows = qa_vectors(spark, sf_dir).withColumn("sim", V.cosine(F.col("q"), F.col("a")))
+    return C.similarity_histogram(rows, "sim", "label").withColumn("percentage", F.round("percentage", 6))
+
+
+@query(f"WITH {QAVEC}, s AS (SELECT label, {COS.format(a='q', b='a')} AS v FROM qav) SELECT label, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS p75, round(max(v), 6) AS max FROM s GROUP BY label")
+def sim_summary(spark, sf_dir):
+    rows = qa_vectors(spark, sf_dir).withColumn("sim", V.cosine(F.col("q"), F.col("a")))
+    s = C.summary(rows, "sim", "label")
+    return s.select("label", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "median", "p75", "max")])
+
+
+@query(f"WITH {QV}, f AS (SELECT * FROM qv WHERE greatest(length(question), length(answer)) <= 500), u AS (SELECT min(row_id) AS row_id FROM f GROUP BY md5(question || '|||' || answer)), st AS (SELECT 0 AS stage_no, 'raw' AS stage, count(*) AS n FROM (SELECT DISTINCT row_id FROM qa_pairs) UNION ALL SELECT 1, 'valid', count(*) FROM qv UNION ALL SELECT 2, 'length', count(*) FROM f UNION ALL SELECT 3, 'distinct', count(*) FROM u) SELECT stage_no, stage, n, round(n / coalesce(lag(n) OVER (ORDER BY stage_no), n) * 100, 6) AS retention, round(n / first_value(n) OVER (ORDER BY stage_no) * 100, 6) AS overall FROM st")
+def stage_funnel(spark, sf_dir):
+    raw, v = qa(spark, sf_dir), valid(spark, sf_dir)
+    short = C.length_filter(v, pair=500)
+    once = short.groupBy(T.content_hash(F.col("question"), F.col("answer"))).agg(F.min("row_id").alias("row_id"))
+    return C.funnel([("raw", raw), ("valid", v), ("length", short), ("distinct", once)]).withColumns({"retention": F.round("retention", 6), "overall": F.round("overall", 6)})
+
+
+# --- similarity, de-duplication, sampling
+
+
+_PAIRS = f"{VEC}, pr AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, {COS.format(a='a.v', b='b.v')} AS sim FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id < b.vec_id)"
+
+
+@query(f"WITH {_PAIRS} SELECT label, i, j, round(sim, 6) AS sim FROM pr")
+def qq_pairs(spark, sf_dir):
+    return S.similar_pairs(vectors(spark, sf_dir), "vec_id", "label", "embedding").withColumn("sim", F.round("sim", 6))
+
+
+@query(f"WITH {_PAIRS} SELECT label, round(avg(CASE WHEN sim > 0.3 THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) AS pairs FROM pr GROUP BY label")
+def share_above(spark, sf_dir):
+    s = S.similar_pairs(vectors(spark, sf_dir), "vec_id", "label", "embedding")
+    return s.groupBy("label").agg(F.round(F.avg((F.col("sim") > 0.3).cast("double")), 6).alias("share"), F.count("*").alias("pairs"))
+
+
+_GREEDY = f"""{_PAIRS}, e AS (SELECT label, i, j FROM pr WHERE sim > 0.25), nb AS (SELECT label, j, list(i) AS nbrs, row_number() OVER (PARTITION BY label ORDER BY j) AS rn FROM e GROUP BY label, j),
+f AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS rm FROM nb UNION ALL
+SELECT nb.label, nb.rn, CASE WHEN len(list_filter(nb.nbrs, lambda x: NOT list_contains(f.rm, x))) > 0 THEN list_append(f.rm, nb.j) ELSE f.rm END FROM f JOIN nb ON nb.label = f.label AND nb.rn = f.rn + 1),
+g AS (SELECT unnest(arg_max(rm, rn)) AS j FROM f GROUP BY label)"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT j FROM g)")
+def greedy_dedup(spark, sf_dir):
+    kept, _ = S.greedy_dedup(vectors(spark, sf_dir), "vec_id", "label", "embedding", 0.25)
+    return kept.select("vec_id", "label")
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT pr.j, min(pr.i) AS i FROM pr JOIN g ON g.j = pr.j WHERE sim > 0.25 AND pr.i NOT IN (SELECT j FROM g) GROUP BY pr.j")
+def dup_pairs(spark, sf_dir):
+    _, pairs = S.greedy_dedup(vectors(spark, sf_dir), "vec_id", "label", "embedding", 0.25)
+    return pairs.select("j", "i")
+
+
+_GQ = _GREEDY.replace(VEC, f"{QAVEC}, vec2 AS (SELECT vec_id, label, q AS v FROM qav)").replace("FROM vec a JOIN vec b", "FROM vec2 a JOIN vec2 b")
+
+
+@query(f"WITH RECURSIVE {_GQ} SELECT vec_id, round({COS.format(a='q', b='a')}, 6) AS qa_sim FROM qav WHERE vec_id NOT IN (SELECT j FROM g) AND {COS.format(a='q', b='a')} >= 0.0")
+def filter_pipeline(spark, sf_dir):
+    out = curation.filter_pipeline(qa_vectors(spark, sf_dir), "vec_id", "label", "q", "a", qq_upper=0.25, qa_lower=0.0)
+    return out.select("vec_id", F.round("qa_sim", 6).alias("qa_sim"))
+
+
+@query()
+def text_pipeline(spark, sf_dir):
+    """Whole curation on the text columns with the offline embedder."""
+    out = curation.text_pipeline(qa(spark, sf_dir), X.apply(X.hashing_embedder(), "array<double>"), table(spark, sf_dir, "type_thresholds"))
+    return out.select("row_id", "type", F.round("qa_sim", 6).alias("qa_sim"))
+
+
+@query()
+def pair_sample(spark, sf_dir):
+    return S.sampled_pairs(vectors(spark, sf_dir), "vec_id", "label", 50, 42)
+
+
+def _numbered(spark, sf_dir):
+    """Rows numbered within their label; a label is one file of the reference, of bounded size."""
+    return vectors(spark, sf_dir).withColumn("no", F.row_number().over(W.partitionBy("label").orderBy("vec_id")).cast("long"))
+
+
+@query()
+def sampled_cosine(spark, sf_dir):
+    v = _numbered(spark, sf_dir)
+    pairs = S.sampled_pairs(v, "vec_id", "label", 50, 42)
+    used = S.rows_used(v, pairs, "no", "label")
+    a, b = used.select("label", F.col("no").alias("i"), F.col("embedding").alias("ea")), used.select("label", F.col("no").alias("j"), F.col("embedding").alias("eb"))
+    return pairs.join(a, ["label", "i"]).join(b, ["label", "j"]).select("label", "i", "j", T.fixed8(V.cosine(F.col("ea"), F.col("eb"))).alias("cosine_similarity"))
+
+
+@query(f"WITH {QA} SELECT row_id, CAST(42 + CAST('0x' || substr(md5(coalesce(_file, '')), 1, 8) AS BIGINT) AS BIGINT) AS seed FROM qa")
+def file_seeds(spark, sf_dir):
+    return qa(spark, sf_dir).select("row_id", T.stable_seed(42, F.coalesce("_file", F.lit(""))).alias("seed"))
+
+
+# --- splits, schedules, expansion
+
+
+_RANK = "row_number() OVER (ORDER BY md5('{seed}|' || row_id)) <= ceil((SELECT count(*) FROM {t}) * {p})"
+
+
+@query(f"WITH {QA} SELECT row_id, CASE WHEN {_RANK.format(seed=42, t='qa', p=0.2)} THEN 'test' ELSE 'train_eval' END AS split FROM qa")
+def fixed_split(spark, sf_dir):
+    return P.test_split(qa(spark, sf_dir).select("row_id"), "row_id", 0.2)
+
+
+@query(f"WITH {QA}, s AS (SELECT row_id, {_RANK.format(seed=42, t='qa', p=0.2)} AS test FROM qa), pool AS (SELECT row_id FROM s WHERE NOT test) " + " UNION ALL ".join(f"SELECT row_id, {i} AS split_id, CASE WHEN {_RANK.format(seed=42 + i, t='pool', p=0.125)} THEN 'eval' ELSE 'train' END AS part FROM pool" for i in range(3)))
+def epoch_resplit(spark, sf_dir):
+    pool = P.test_split(qa(spark, sf_dir).select("row_id"), "row_id", 0.2).where("split = 'train_eval'").select("row_id")
+    parts = [P.resplit(pool, "row_id", 0.125, i) for i in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT CAST(k AS INTEGER) AS k, CAST(n AS INTEGER) AS n, array_to_string(CASE WHEN k = 0 THEN [n] ELSE list_sort(list_distinct(list_concat(list_filter(range(1, n + 1), lambda e: e % k = 0), [n]))) END, ',') AS epochs FROM (SELECT k, n FROM range(0, 6) a(k), range(1, 8) b(n)) WHERE n % greatest(k, 1) <> 0 OR k IN (0, 1) OR n = k")
+def test_epochs(spark, sf_dir):
+    g = spark.range(0, 6).select(F.col("id").cast("int").alias("k")).crossJoin(spark.range(1, 8).select(F.col("id").cast("int").alias("n")))
+    g = g.where("n % greatest(k, 1) <> 0 OR k IN (0, 1) OR n = k")
+    return g.select("k", "n", F.array_join(P.test_epochs(F.col("k"), F.col("n")), ",").alias("epochs"))
+
+
+@query(f"WITH {QV} SELECT row_id, CAST(c AS INTEGER) AS copy_no FROM qv, range(0, 3) t(c)")
+def augment_expand(spark, sf_dir):
+    return P.augmented(valid(spark, sf_dir), 3).select("row_id", "copy_no")
+
+
+# --- chat and training rows
+
+
+@query(f"WITH {MSG}, c AS (SELECT conv_id, turn, role, string_agg(role || ':' || md5(coalesce(content, '')), '|' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS context FROM msg) SELECT conv_id, turn, md5(context) AS context FROM c WHERE role = 'user'")
+def chat_context(spark, sf_dir):
+    c = M.chat_contexts(messages(spark, sf_dir))
+    return c.select("conv_id", "turn", F.md5(F.array_join(F.transform("context", lambda m: F.concat(m["role"], F.lit(":"), F.md5(m["content"]))), "|")).alias("context"))
+
+
+@query(f"WITH {MSG} SELECT m.conv_id, m.turn, md5(coalesce(string_agg('<|im_start|>' || s.role || chr(10) || coalesce(s.content, '') || '<|im_end|>', chr(10) ORDER BY s.turn) || chr(10), '') || '<|im_start|>user' || chr(10) || coalesce(any_value(m.content), '') || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS prompt FROM msg m LEFT JOIN msg s ON s.conv_id = m.conv_id AND s.turn <= m.turn AND s.role = 'system' WHERE m.role = 'user' GROUP BY m.conv_id, m.turn")
+def chat_prompt(spark, sf_dir):
+    c = M.chat_contexts(messages(spark, sf_dir), history=False)
+    return c.select("conv_id", "turn", F.md5(T.chatml(F.col("context"))).alias("prompt"))
+
+
+@query(f"WITH {QV} SELECT row_id, CASE WHEN type <> '' THEN '问题类型：' || type || chr(10) || '问题：' || question ELSE question END AS prompt, answer || '<|im_end|>' || '</s>' AS response FROM qv")
+def sft_prompt(spark, sf_dir):
+    return valid(spark, sf_dir).select("row_id", T.prompt(F.col("question"), F.col("type")).alias("prompt"), T.response(F.col("answer"), eos="</s>").alias("response"))
+
+
+def _sft(spark, sf_dir):
+    rows = valid(spark, sf_dir).select("row_id", T.prompt(F.col("question"), F.col("type")).alias("p"), T.response(F.col("answer")).alias("r"))
+    return M.masked_rows(rows, M.token_codes(F.col("p")), M.token_codes(F.col("r")), 300)
+
+
+_CODES = "list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: unicode(c))"
+_SFT = f"""{QV}, t AS (SELECT row_id, list_slice({_CODES.format(x="CASE WHEN type <> '' THEN '问题类型：' || type || chr(10) || '问题：' || question ELSE question END")}, 1, 300) AS p, {_CODES.format(x="(answer || '<|im_end|>')")} AS r FROM qv),
+u AS (SELECT row_id, p, CASE WHEN len(p) >= 300 THEN [] ELSE list_slice(r, 1, 300 - len(p)) END AS r FROM t), f AS (SELECT row_id, list_concat(p, r) AS ids, list_concat(list_transform(p, lambda x: -100), r) AS labels FROM u)"""
+
+
+@query(f"WITH {_SFT} SELECT row_id, md5(array_to_string(ids, ',')) AS input_ids, md5(array_to_string(labels, ',')) AS labels, CAST(len(ids) AS INTEGER) AS n FROM f")
+def sft_rows(spark, sf_dir):
+    j = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return _sft(spark, sf_dir).select("row_id", j("input_ids").alias("input_ids"), j("labels").alias("labels"), F.size("attention_mask").alias("n"))
+
+
+@query(f"WITH {_SFT}, w AS (SELECT *, max(len(ids)) OVER (PARTITION BY row_id // 16) AS w FROM f) SELECT row_id, CAST(w AS INTEGER) AS width, CAST(len(ids) AS INTEGER) AS ones, CAST(list_sum(list_transform(labels, lambda x: CASE WHEN x = -100 THEN 1 ELSE 0 END)) + w - len(ids) AS INTEGER) AS ignored FROM w")
+def pad_batch(spark, sf_dir):
+    rows = M.padded(_sft(spark, sf_dir).withColumn("batch", F.floor(F.col("row_id") / 16)), "batch")
+    return rows.select("row_id", F.size("input_ids").alias("width"), F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).alias("ones"), F.size(F.filter("labels", lambda x: x == -100)).alias("ignored"))
+
+
+@query(f"WITH {QV} SELECT row_id, CAST(count(*) OVER w AS INTEGER) AS earlier, md5(coalesce(string_agg(question, chr(10)) OVER w, '')) AS hash FROM qv WHERE _file IS NOT NULL WINDOW w AS (PARTITION BY _file, type ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def prior_questions(spark, sf_dir):
+    rows = M.earlier_questions(valid(spark, sf_dir).where("_file IS NOT NULL"), ["_file", "type"], "line_no", "question")
+    return rows.select("row_id", F.size("earlier").alias("earlier"), F.md5(F.array_join("earlier", "\n")).alias("hash"))
+
+
+# --- runs, checkpoints, parameters (literal fixtures)
+
+_RUNS = ["0531144908_2B_R-4_DR-0.5_full_qkvo_DropoutTest", "20250531144908_0.8B_R-16_AL-r-sqrta_top-4_qv", "0601120000_4B_R-8_end-2_qkvo_Layer_Test", "notes", "2025-05-31_lora"]
+
+
+@query("SELECT * FROM (VALUES ('0531144908_2B_R-4_DR-0.5_full_qkvo_DropoutTest','0531144908','2B',4,NULL,CAST(0.5 AS DOUBLE),'full','qkvo','DropoutTest'),('20250531144908_0.8B_R-16_AL-r-sqrta_top-4_qv','0531144908','0.8B',16,'r-sqrta',NULL,'top-4','qv',NULL),('0601120000_4B_R-8_end-2_qkvo_Layer_Test','0601120000','4B',8,NULL,NULL,'end-2','qkvo','Layer_Test'),('notes',NULL,NULL,NULL,NULL,NULL,NULL,NULL,NULL),('2025-05-31_lora',NULL,NULL,NULL,NULL,NULL,NULL,NULL,NULL)) t(dir,timestamp,size,rank,scaling,dropout,layers,modules,run_name)")
+def run_name_parse(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in _RUNS], "dir string").select("dir", N.parsed_run(F.col("dir")).alias("x")).select("dir", "x.*")
+
+
+@query("SELECT * FROM (VALUES (1,'2B_R-4_DR-0.5_full_qkvo'),(2,'0.8B_R-16_AL-r-sqrta_top-4_qv'),(3,'4B_R-8_end-2_gate')) t(id,core)")
+def run_name_build(spark, sf_dir):
+    rows = [(1, "org/Model-2b", 4.0, "r/a", 0.5, "all", 0, ["self_attn.q_proj", "k_proj", "v_proj", "o_proj"]), (2, "X-0.8B", 16.0, "r_sqrta", 0.0, "input", 4, ["q_proj", "v_proj"]), (3, "m 4B", 8.0, None, 0.0, "last", 2, ["mlp.gate"])]
+    df = spark.createDataFrame(rows, "id int, model string, rank double, scaling string, dropout double, side string, count int, modules array<string>")
+    return df.select("id", N.core_name(N.model_size(F.col("model")), F.col("rank"), F.col("scaling"), F.col("dropout"), N.layer_selection(F.col("side"), F.col("count")), N.module_code(F.col("modules"))).alias("core"))
+
+
+def _modules(spark):
+    rows = [(i * 3 + k, f"model.layers.{i}.self_attn.{m}") for i in range(6) for k, m in enumerate(("q_proj", "v_proj", "gate"))]
+    return spark.createDataFrame(rows, "pos int, path string")
+
+
+@query("SELECT 'model.layers.' || i AS layer, CAST(i + 1 AS INTEGER) AS layer_no, 'model.layers.' || i || '.self_attn.q_proj,model.layers.' || i || '.self_attn.v_proj' AS modules FROM range(4, 6) t(i)")
+def module_layers_topn(spark, sf_dir):
+    g = R.chosen_layers(R.layer_groups(_modules(spark), ["q_proj", "v_proj"]), "end", 2)
+    return g.select("layer", "layer_no", F.array_join("modules", ",").alias("modules"))
+
+
+@query("WITH m AS (SELECT 'layers.' || i || '.w' AS key FROM range(0, 8) t(i)), c AS (SELECT 'layers.' || i || '.w' AS key FROM range(3, 12) t(i)) SELECT coalesce(m.key, c.key) AS key, CASE WHEN m.key IS NOT NULL AND c.key IS NOT NULL THEN 'loaded' WHEN m.key IS NOT NULL THEN 'missing' ELSE 'unexpected' END AS state FROM m FULL JOIN c ON m.key = c.key")
+def ckpt_key_match(spark, sf_dir):
+    key = F.concat(F.lit("layers."), F.col("id").cast("string"), F.lit(".w")).alias("key")
+    return R.matched_keys(spark.range(0, 8).select(key), spark.range(3, 12).select(key))
+
+
+@query("SELECT 'strip:module.|add:-' AS name, CAST(8 AS BIGINT) AS matched")
+def ckpt_best_transform(spark, sf_dir):
+    model = spark.range(0, 8).select(F.concat(F.lit("layers."), F.col("id").cast("string"), F.lit(".w")).alias("key"))
+    return R.best_transform(model, model.select(F.concat(F.lit("module."), "key").alias("key")))
+
+
+@query("SELECT 'x.layers.' || i || '.w' AS key, 'layers.' || i || '.w' AS model_key FROM range(0, 4) t(i)")
+def ckpt_suffix_match(spark, sf_dir):
+    name = lambda p: F.concat(F.lit(p), F.col("id").cast("string"), F.lit(".w"))
+    return R.suffix_matches(spark.range(0, 4).select(name("x.layers.").alias("key")), spark.range(0, 8).select(name("layers.").alias("key")))
+
+
+_MET = "met AS (SELECT user_id AS run, event_id AS step, CAST(value AS DOUBLE) AS loss FROM events)"
+
+
+def _metrics(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").cast("double").alias("loss"))
+
+
+@query(f"WITH {_MET}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY loss, step) AS k FROM met WHERE loss IS NOT NULL AND isfinite(loss)) SELECT run, step, loss FROM r WHERE k = 1")
+def best_checkpoint(spark, sf_dir):
+    return R.best_checkpoint(_metrics(spark, sf_dir), "run")
+
+
+@query(f"WITH {_MET}, b AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM met) SELECT run, step, best AS best_before, coalesce(loss < best, true) AS improved FROM b")
+def running_best(spark, sf_dir):
+    return R.running_best(_metrics(spark, sf_dir), "run").select("run", "step", "best_before", "improved")
+
+
+@query(f"WITH {_MET}, e AS (SELECT *, step // 100 AS epoch FROM met), r AS (SELECT *, row_number() OVER (PARTITION BY run, epoch ORDER BY step) AS k FROM e) SELECT run, epoch, step FROM r WHERE k = 1")
+def once_per_epoch(spark, sf_dir):
+    rows = _metrics(spark, sf_dir).withColumn("epoch", F.floor(F.col("step") / 100))
+    return R.first_per_epoch(rows, ["run", "epoch"]).select("run", "epoch", "step")
+
+
+@query(f"WITH {_MET}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS k FROM met) SELECT run, step FROM r WHERE k <= 3")
+def retained_checkpoints(spark, sf_dir):
+    return R.retained(_metrics(spark, sf_dir), "run", 3).select("run", "step")
+
+
+@query("SELECT event_id, round(exp(value / 100.0), 6) AS perplexity, CAST(round_even(value, 0) AS INTEGER) AS epoch FROM events WHERE value < 1000")
+def perplexity(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("value < 1000")
+    return e.select("event_id", F.round(T.perplexity(F.col("value") / 100.0), 6).alias("perplexity"), T.completed_epoch(F.col("value")).alias("epoch"))
+
+
+@query("SELECT event_id AS step, 'train/value' AS tag, CAST(value AS DOUBLE) AS value FROM events WHERE value IS NOT NULL")
+def scalar_series(spark, sf_dir):
+    return sinks.scalar_series(table(spark, sf_dir, "events").select("event_id", "value", "event_type"), "event_id", "train")
+
+
+@query("SELECT * FROM (VALUES ('global.model','x-2B'),('global.seed','7'),('LoRA.rank','16')) t(key_path, value)")
+def config_override(spark, sf_dir):
+    base = {"global": {"model": "x-2B", "seed": 42}, "LoRA": {"rank": 4}}
+    rows = spark.createDataFrame(config.flat(base), "key_path string, value string")
+    new = spark.createDataFrame([(k, str(v)) for k, v in config.overrides(["--global.seed=7", "--LoRA.rank=16"]).items()], "key_path string, value string")
+    return config.overridden(rows, new)
+
+
+@query("SELECT CAST(r AS VARCHAR) AS rank, d AS dropout, '--rank=' || r || ' --dropout=' || d AS command FROM (VALUES (4),(8),(16)) a(r), (VALUES ('0.0'),('0.5')) b(d)")
+def sweep_grid(spark, sf_dir):
+    return R.sweep(spark, {"rank": [4, 8, 16], "dropout": [0.0, 0.5]})
+
+
+@query("SELECT CAST(sum(p_size) FILTER (p_brand LIKE '%1') AS BIGINT) AS trainable, CAST(sum(p_size) AS BIGINT) AS total FROM part")
+def trainable_parameters(spark, sf_dir):
+    return R.trainable(table(spark, sf_dir, "part").select(F.col("p_size").alias("n"), F.col("p_brand").endswith("1").alias("requires_grad")))
+
+
+@query("WITH s AS (SELECT DISTINCT source AS target FROM documents WHERE source IS NOT NULL), d AS (SELECT doc_id AS old, source AS target, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IS NOT NULL) SELECT old, CASE WHEN k = 1 THEN target ELSE target || '__dup' || (k - 1) END AS new FROM d")
+def rename_plan(spark, sf_dir):
+    return R.rename_plan(table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.col("doc_id").alias("old"), F.col("source").alias("target")))
+
+
+# --- seams with offline stand-ins
+
+
+@query()
+def seam_embedding(spark, sf_dir):
+    rows = valid(spark, sf_dir).select("row_id", "question")
+    return X.memoised(rows, "question", "v", X.apply(X.hashing_embedder(), "array<double>")).select("row_id", F.round(V.norm(F.col("v")), 6).alias("norm"))
+
+
+@query(f"WITH {QV} SELECT row_id, least(5, length(answer) // 80) AS score FROM qv")
+def seam_scoring(spark, sf_dir):
+    rows = valid(spark, sf_dir)
+    return rows.select("row_id", T.extract_score(X.apply(X.rule_scorer(), "string", tries=3)(F.col("answer"))).cast("long").alias("score"))
+
+
+@query(f"WITH {QV} SELECT row_id, md5(array_to_string({_CODES.format(x='question')}, ',')) AS ids FROM qv")
+def seam_tokenizer(spark, sf_dir):
+    ids = X.apply(X.code_points(), "array<int>")(F.col("question"))
+    return valid(spark, sf_dir).select("row_id", F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")).alias("ids"))
+
+
+@query()
+def seam_segmenter(spark, sf_dir):
+    words = X.apply(X.ngram_segmenter(), "array<string>")(T.squeeze(T.kept_letters(F.col("question"))))
+    return valid(spark, sf_dir).select("row_id", F.array_join(T.without_stops(words), " ").alias("words"))
+
+
+@query(f"WITH {QV} SELECT row_id, '改写：' || substr(md5(question), 1, 8) AS question FROM qv")
+def seam_paraphrase(spark, sf_dir):
+    return valid(spark, sf_dir).select("row_id", X.apply(X.echo_generator("改写："), "string")(F.col("question")).alias("question"))
+
+
+@query()
+def seam_generation(spark, sf_dir):
+    """Questions of a section and type one after another, each prompt holding the earlier ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    plan = P.quota_plan(readers.sections(docs, "doc_id", "text").drop("section"), "doc_id").where("section_no >= 0")
+    asked = plan.select("doc_id", "section_no", "type", F.explode(F.sequence(F.lit(1), F.greatest(F.least(F.col("n"), F.lit(3)), F.lit(1)))).alias("no"), F.col("type").alias("prompt"))
+    return X.in_sequence(asked, ["doc_id", "section_no", "type"], "no", X.echo_generator("问：")).select("doc_id", "section_no", "type", "no", "text")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat turns paired, validated, cut to length, exact copies removed, counted by the first turn."""
+    pairs = M.adjacent_pairs(messages(spark, sf_dir)).withColumn("type", F.lit("chat"))
+    rows = C.length_filter(C.valid(pairs), pair=1000)
+    once = rows.groupBy(T.content_hash(F.col("question"), F.col("answer")).alias("hash")).agg(F.min(F.struct("conv_id", "turn")).alias("at"))
+    n = once.groupBy(F.col("at.turn").alias("turn")).agg(F.count("*").alias("n"))
+    return n.select("turn", "n", T.percent(F.col("n"), F.sum("n").over(W.partitionBy())).alias("percentage"))
