@@ -128,7 +128,7 @@ def chapter_tags(spark, sf_dir):
 
 
 @query(f"""WITH l AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text,''), '\\r\\n|\\r|\\n'), lambda x: regexp_replace(x, '{BL}$', '')) AS ls FROM documents),
-n AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM l), s AS (SELECT *, sum(CASE WHEN starts_with(x, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS sec FROM n)
+l2 AS (SELECT doc_id, CASE WHEN ls[len(ls)] = '' THEN ls[1:len(ls) - 1] ELSE ls END AS ls FROM l), n AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM l2), s AS (SELECT *, sum(CASE WHEN starts_with(x, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS sec FROM n)
 SELECT doc_id, CAST(sec - 1 AS INTEGER) AS section_no, md5(string_agg(x, chr(10) ORDER BY i)) AS hash FROM s WHERE sec > 0 GROUP BY doc_id, sec""")
 def h2_sections(spark, sf_dir):
     return readers.sections(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "section_no", F.md5("section").alias("hash"))
