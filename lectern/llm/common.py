@@ -2,52 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-SHARED_DIR_CONF = "spark.checkpoint.dir"
+from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import written  # noqa: F401
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's own setting, else a local default for tests."""
-    got = spark.conf.get(SHARED_DIR_CONF, None) or spark.sparkContext.getConf().get(SHARED_DIR_CONF)
-    if got:
-        return got
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError(f"set {SHARED_DIR_CONF} to a folder that all executors share")
-    return f"file:///tmp/lectern-shared-{os.getuid()}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def once_per_id(df: DataFrame, key: str, *, order: str = "loaded_at") -> DataFrame:
-    """One row per id: the earliest delivery. Rows whose id is null are dropped."""
-    keep = [c for c in df.columns if c != key]
-    first = F.min_by(F.struct(*keep), F.coalesce(F.col(order), F.to_timestamp(F.lit("9999-12-31")))).alias("__r")
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(first).select(key, "__r.*")
-
-
-def letters_only(*cols: Column) -> Column:
-    """Columns joined by line feeds (null as empty), lower-cased, all but Unicode letters and numbers removed."""
-    joined = F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in cols])
-    return F.regexp_replace(F.lower(joined), r"[^\p{L}\p{N}]+", "")
-
-
 def string_parts(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all strings end to end (uint32) and the n+1 offsets; a null counts as empty."""
     if isinstance(arr, pa.ChunkedArray):
