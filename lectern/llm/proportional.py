@@ -28,12 +28,12 @@ class Quota:
         return max(0.0, self.target - self.available)
 
 
-def largest_remainder(shares: dict[str, float], floors: dict[str, int], available: dict[str, int], size: int) -> dict[str, Quota]:
+def largest_remainder(shares: dict[str, float], floors: dict[str, int], available: dict[str, int], size: int, exact_size: float | None = None) -> dict[str, Quota]:
     """Integer quotas that sum to ``size`` where availability allows.
 
     Every category first gets ``min(floor, available)``; what is left goes out in proportion to the unmet ideal shares by
     largest remainder, capped by availability; what caps give back is dealt again. Ties fall to the smaller name. Negative
-    or null shares count as 0; size 0 gives the floors.
+    or null shares count as 0; size 0 gives the floors. Targets are told against ``exact_size`` where the size was rounded.
     """
     names = sorted(shares)
     ideal = {c: max(0.0, shares[c] or 0.0) * size for c in names}
@@ -52,7 +52,8 @@ def largest_remainder(shares: dict[str, float], floors: dict[str, int], availabl
             whole[c] += 1
         for c in room:
             got[c] = min(available.get(c, 0), got[c] + whole[c])
-    return {c: Quota(c, available.get(c, 0), ideal[c], max(0, floors.get(c) or 0), got[c]) for c in names}
+    exact = size if exact_size is None else exact_size
+    return {c: Quota(c, available.get(c, 0), max(0.0, shares[c] or 0.0) * exact, max(0, floors.get(c) or 0), got[c]) for c in names}
 
 
 def bare(c: Column) -> Column:
@@ -77,11 +78,11 @@ def meant_category(df: DataFrame, plan: DataFrame, category: str, *, max_edits:
     return df.join(only, df[category].eqNullSafe(only["__raw"]), "left").drop("__raw")
 
 
-def quotas(counts: DataFrame, plan: DataFrame, size: int) -> list[Quota]:
+def quotas(counts: DataFrame, plan: DataFrame, size: float) -> list[Quota]:
     """Quotas from per-category counts: one row per planned category reaches the driver, no records."""
     rows = plan.select("type", "target_share", "min_rows").where(F.col("type").isNotNull()).groupBy("type").agg(F.max("target_share").alias("s"), F.max("min_rows").alias("m")).collect()
     have = {r["category_meant"]: r["n"] for r in counts.where(F.col("category_meant").isNotNull()).collect()}
-    return list(largest_remainder({r["type"]: r["s"] for r in rows}, {r["type"]: r["m"] for r in rows}, have, size).values())
+    return list(largest_remainder({r["type"]: r["s"] for r in rows}, {r["type"]: r["m"] for r in rows}, have, round(size), size).values())
 
 
 def draw(df: DataFrame, taken: list[Quota], key: str, *, seed: int = 42) -> DataFrame:
@@ -111,7 +112,7 @@ def _prepared(spark, sf_dir, fraction: float):
     typed = meant_category(rows, plan, "type")
     counts = typed.groupBy("category_meant").agg(F.count("*").alias("n"))
     found = counts.collect()
-    size = round(fraction * sum(r["n"] for r in found))
+    size = fraction * sum(r["n"] for r in found)
     counts = spark.createDataFrame([(r["category_meant"], r["n"]) for r in found], "category_meant string, n long")
     return typed, quotas(counts, plan, size)
 
