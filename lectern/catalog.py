@@ -588,6 +588,54 @@ def rename_plan(spark, sf_dir):
     return R.rename_plan(table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.col("doc_id").alias("old"), F.col("source").alias("target")))
 
 
+@query("SELECT * FROM (VALUES ('0531144908_2B_R-4_full_qkvo', true), ('my_LoRA_run', true), ('2B_notes', false), ('plain', false)) t(dir, lora)")
+def lora_runs(spark, sf_dir):
+    dirs = spark.createDataFrame([("0531144908_2B_R-4_full_qkvo",), ("my_LoRA_run",), ("2B_notes",), ("plain",)], "dir string")
+    return dirs.select("dir", N.is_lora_run(F.col("dir")).alias("lora"))
+
+
+@query("SELECT user_id, arg_max(path, struct_pack(a := n, b := path)) AS path FROM (SELECT user_id, event_id AS n, 'run/checkpoint-' || event_id AS path FROM events) GROUP BY user_id")
+def latest_checkpoint(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return R.latest(e.select("user_id", F.concat(F.lit("run/checkpoint-"), F.col("event_id").cast("string")).alias("path"), F.lit(0).alias("modified")), "user_id")
+
+
+@query("SELECT '/r/a/' || i || '/x.bin' AS path, CASE WHEN i % 2 = 0 THEN '/r/a/' || i || '/c.yaml' ELSE '/r/c.yaml' END AS config FROM range(0, 6) t(i)")
+def nearest_config(spark, sf_dir):
+    at = lambda ids, end: ids.select(F.concat(F.lit("/r/a/"), F.col("id").cast("string"), F.lit(end)).alias("path"))
+    configs = at(spark.range(0, 6, 2), "/c.yaml").unionByName(spark.createDataFrame([("/r/c.yaml",)], "path string"))
+    return config.nearest_config(at(spark.range(6), "/x.bin"), configs)
+
+
+@query("SELECT user_id AS path, arg_min(event_type, event_id) AS value FROM events GROUP BY user_id")
+def first_logged(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("line_no"), F.concat(F.lit("kind: '"), F.col("event_type"), F.lit("'")).alias("line"))
+    return readers.logged_values(lines, ["kind"]).select("path", "value")
+
+
+@query("SELECT DISTINCT props AS raw, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def json_props(spark, sf_dir):
+    p = F.col("props")
+    return table(spark, sf_dir, "events").select(p.alias("raw"), F.try_variant_get(F.try_parse_json(p), "$.k", "int").alias("k")).distinct()
+
+
+@query("SELECT source, md5(array_to_string(list_distinct_ordered, ',')) AS langs FROM (SELECT source, list(lang ORDER BY first) AS list_distinct_ordered FROM (SELECT source, lang, min(doc_id) AS first FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY source, lang) GROUP BY source)")
+def ordered_distinct(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL").groupBy("source", "lang").agg(F.min("doc_id").alias("first"))
+    langs = F.transform(F.array_sort(F.collect_list(F.struct("first", "lang"))), lambda x: x["lang"])
+    return d.groupBy("source").agg(F.md5(F.array_join(langs, ",")).alias("langs"))
+
+
+@query("SELECT * FROM (VALUES (1,'2.5'),(2,'3'),(3,'0')) t(id, shown)")
+def number_format(spark, sf_dir):
+    return spark.createDataFrame([(1, 2.5), (2, 3.0), (3, 0.0)], "id int, x double").select("id", N.number(F.col("x")).alias("shown"))
+
+
+@query("SELECT user_id, CAST(approx AS BIGINT) AS windows FROM (SELECT user_id, count(DISTINCT epoch(ts)::BIGINT // 3600) AS approx FROM events GROUP BY user_id)")
+def event_windows(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id", F.window("ts", "1 hour")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("windows"))
+
+
 # --- seams with offline stand-ins
 
 

@@ -103,6 +103,12 @@ def matches_module(path: Column, targets: list[str]) -> Column:
     return out
 
 
+def is_lora_run(name: Column) -> Column:
+    """A directory name that says so, or holds a model size and a rank."""
+    sized = F.replace(after_timestamp(name), F.lit("_"), F.lit(" "))
+    return F.contains(F.lower(name), F.lit("lora")) | (model_size(sized).isNotNull() & F.regexp_like(name, F.lit(r"(?:^|_)R-\d+(?:_|$)")))
+
+
 def key_transforms() -> list[tuple[str, str, str]]:
     """Ways to rewrite a checkpoint's tensor keys, in order of preference: name, prefix to strip, prefix to add."""
     prefixes = ["", "module.", "model.", "base_model.", "base_model.model.", "transformer."]
