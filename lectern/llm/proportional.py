@@ -69,12 +69,20 @@ def meant_category(df: DataFrame, plan: DataFrame, category: str, *, max_edits:
     Distinct raw spellings are matched, not rows. A spelling equal to a planned one after :func:`bare` wins; otherwise the
     one planned name within ``max_edits`` edits, if it is the only nearest. Null stays null.
     """
-    raw = df.select(F.col(category).alias("__raw")).where(F.col("__raw").isNotNull()).groupBy("__raw").count().withColumn("__b", bare(F.col("__raw")))
-    p = plan.select(F.col("type").alias("category_meant")).where(F.col("category_meant").isNotNull()).distinct().withColumn("__p", bare(F.col("category_meant")))
-    near = raw.join(F.broadcast(p), F.levenshtein("__b", "__p") <= F.least(F.lit(max_edits), F.length("__p") - 2))
-    near = near.withColumn("__d", F.levenshtein("__b", "__p"))
-    best = near.groupBy("__raw").agg(F.min("__d").alias("__d"))
-    only = near.join(best, ["__raw", "__d"]).groupBy("__raw").agg(F.count("*").alias("__n"), F.min("category_meant").alias("category_meant")).where("__n = 1").select("__raw", "category_meant")
+    names = sorted({r["type"] for r in plan.select("type").where(F.col("type").isNotNull()).collect()})  # a plan's few types
+    raw = df.select(F.col(category).alias("__raw")).where(F.col("__raw").isNotNull()).groupBy("__raw").count()
+    if names:
+        b = bare(F.col("__raw"))
+        near = []
+        for n in names:
+            p = bare(F.lit(n))
+            d = F.levenshtein(b, p)
+            near.append(F.when(d <= F.least(F.lit(max_edits), F.length(p) - 2), F.struct(d.alias("d"), F.lit(n).alias("name"))))
+        fit = F.array_sort(F.array_compact(F.array(*near)))
+        alone = (F.size("__fit") == 1) | (F.get("__fit", F.lit(0))["d"] < F.get("__fit", F.lit(1))["d"])
+        only = raw.withColumn("__fit", fit).where((F.size("__fit") > 0) & alone).select("__raw", F.get("__fit", F.lit(0))["name"].alias("category_meant"))
+    else:
+        only = raw.select("__raw", F.lit(None).cast("string").alias("category_meant"))
     return df.join(only, df[category].eqNullSafe(only["__raw"]), "left").drop("__raw")
 
 
