@@ -24,3 +24,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package: by its folder on this machine, as an archive on a cluster. Done once a context."""
+    import atexit
+    import shutil
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_lectern_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    known = sc.environment.get("PYTHONPATH", "")
+    sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(package.parent), known]))
+    if not sc.master.startswith("local"):
+        folder = tempfile.mkdtemp()  # the driver serves the archive from here until it ends; no data is kept here
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = Path(folder, "lectern.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+    sc._lectern_shipped = True
