@@ -141,7 +141,7 @@ def quota_plan(spark, sf_dir):
     return P.quota_plan(readers.sections(table(spark, sf_dir, "documents"), "doc_id", "text").drop("section"), "doc_id")
 
 
-@query()
+@query(f"WITH {QA} SELECT row_id, regexp_replace(question, '{T.LATEX}', '', 'g') AS question FROM qa")
 def latex_strip(spark, sf_dir):
     return qa(spark, sf_dir).select("row_id", T.latex_strip(F.col("question")).alias("question"))
 
@@ -155,7 +155,7 @@ def preprocess_words(spark, sf_dir):
     return qa(spark, sf_dir).select("row_id", t.alias("squeezed"), F.array_join(T.without_stops(T.tokens(t)), " ").alias("words"))
 
 
-@query()
+@query(f"WITH {QA}, p AS (SELECT row_id, trim(regexp_replace(regexp_replace(regexp_replace(question, '{T.LATEX}', '', 'g'), '[^\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM qa) SELECT row_id, array_to_string(list_filter(string_split(t, ' '), lambda w: length(w) > 1 AND NOT list_contains([{_STOPS}], w)), ' ') AS words FROM p")
 def preprocess_text(spark, sf_dir):
     return qa(spark, sf_dir).select("row_id", T.preprocess(F.col("question")).alias("words"))
 
@@ -198,7 +198,7 @@ def relevance_filter(spark, sf_dir):
 # --- scores
 
 
-@query()
+@query(f"SELECT row_id, {_strip("regexp_replace(reply, '^((?s:.*?))<think>(?s:.*?)</think>', '" + chr(92) + "1')")} AS reply FROM qa_scores")
 def strip_think(spark, sf_dir):
     return table(spark, sf_dir, "qa_scores").select("row_id", T.strip_think(F.col("reply")).alias("reply"))
 
@@ -639,7 +639,7 @@ def event_windows(spark, sf_dir):
 # --- seams with offline stand-ins
 
 
-@query()
+@query(f"WITH {QV} SELECT row_id, CASE WHEN length(question) < 2 THEN 0.0 ELSE 1.0 END AS norm FROM qv")
 def seam_embedding(spark, sf_dir):
     rows = valid(spark, sf_dir).select("row_id", "question")
     return X.memoised(rows, "question", "v", X.apply(X.hashing_embedder(), "array<double>")).select("row_id", F.round(V.norm(F.col("v")), 6).alias("norm"))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Fixed value: what a strip removes, i.e. all Unicode white space and the four separators.
 BLANKS = r"[\t-\r\x1c-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
+#: Fixed value: the pattern meant to take bracketed LaTeX, braces escaped; a dot is any character but a line feed.
+LATEX = r"\\[.*?\\]|\\\{.*?\\\}|\\(.*?\\)"
+
 # The stop words of more than one character (single characters are dropped by length).
 STOP_WORDS = [
     "一个", "没有", "自己", "什么", "怎么", "如何", "为什么", "哪个", "哪些", "何时", "何地",
@@ -38,7 +41,7 @@ def is_blank(c: Column) -> Column:
 
 def latex_strip(c: Column) -> Column:
     """Removes, on one line, everything from a backslash to the next bracket form as the reference pattern reads it."""
-    return F.regexp_replace(c, r"\\[.*?\\]|\\\{.*?\\\}|\\(.*?\\)", "")
+    return F.regexp_replace(c, "(?d)" + LATEX, "")
 
 
 def kept_letters(c: Column) -> Column:

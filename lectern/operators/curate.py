@@ -107,13 +107,14 @@ def length_histogram(df: DataFrame, length: str, by: str | None, *, width: int =
     given. ``overlap`` keeps the last regular bin whole where the cap falls inside it, counting its rows in the tail too.
     """
     key = F.col(by) if by else F.lit(ALL)
-    rows = df.select(key.alias("g"), F.col(length).alias("v")).where("v IS NOT NULL")
-    top = df.agg(F.least(F.max(length), F.lit(width * bins)).alias("cap")) if cap is None else df.sparkSession.createDataFrame([(cap,)], "cap int")
+    # rows are counted once per group and length; all else works on those few counts
+    rows = df.select(key.alias("g"), F.col(length).alias("v")).where("v IS NOT NULL").groupBy("g", "v").agg(F.count("*").alias("n"))
+    top = rows.agg(F.least(F.max("v"), F.lit(width * bins)).alias("cap")) if cap is None else df.sparkSession.createDataFrame([(cap,)], "cap int")
     edge = F.col("v") if overlap else F.least(F.col("v"), F.col("cap"))
     marked = rows.crossJoin(top)  # a single row
-    regular = marked.where((F.col("v") < F.col("cap")) if not overlap else (F.col("v") < F.ceil(F.col("cap") / width) * width)).groupBy("g", F.floor(edge / width).cast("int").alias("bin_no")).agg(F.count("*").alias("n"))
-    tail = marked.where("v >= cap").groupBy("g").agg(F.lit(-1).alias("bin_no"), F.count("*").alias("n")).select("g", "bin_no", "n")
-    total = rows.groupBy("g").agg(F.count("*").alias("total"))
+    regular = marked.where((F.col("v") < F.col("cap")) if not overlap else (F.col("v") < F.ceil(F.col("cap") / width) * width)).groupBy("g", F.floor(edge / width).cast("int").alias("bin_no")).agg(F.sum("n").alias("n"))
+    tail = marked.where("v >= cap").groupBy("g").agg(F.sum("n").alias("n")).select("g", F.lit(-1).alias("bin_no"), "n")
+    total = rows.groupBy("g").agg(F.sum("n").alias("total"))
     numbers = F.when(F.col("cap") > 0, F.sequence(F.lit(0), F.ceil(F.col("cap") / width).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     grid = total.crossJoin(top).select("g", "total", "cap", F.explode(numbers).alias("bin_no"))
     body = grid.join(regular, ["g", "bin_no"], "left").select("g", "bin_no", F.concat((F.col("bin_no") * width).cast("string"), F.lit(" ~ "), (F.col("bin_no") * width + width).cast("string")).alias("interval"), F.coalesce("n", F.lit(0).cast("long")).alias("count"), "total")
