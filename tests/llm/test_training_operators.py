@@ -134,6 +134,30 @@ def test_p3_equals_brute_force(spark, tmp_path):
     assert sum(x["overlapping"] for x in report) == len({i for p in want for i in p if i in held})
 
 
+def edited(r, text, n):
+    """The text with n characters replaced at random places."""
+    out = list(text)
+    for i in r.sample(range(len(out)), n):
+        out[i] = r.choice("abcdefghijklmnopqrstuvwxyz")
+    return "".join(out)
+
+
+def p3_recall(spark, path, train, held):
+    rows = [{"sample_id": i, "split": "train" if i < len(train) else "test", "source": "s", "question": t} for i, t in enumerate(train + held)]
+    want = {p for p, s in jaccards(train + held).items() if s >= 0.6 and p[0] < len(train) <= p[1]}
+    got = {(x["sample_id_a"], x["sample_id_b"]) for x in overlap.p3_found(spark, make(spark, path, split_rows=rows)).collect()}
+    assert want and got <= want
+    return len(got) / len(want)
+
+
+def test_p3_family_of_a_third_of_the_held_out_texts(spark, tmp_path):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100))
+    root = word()
+    train, held = [edited(r, root, r.randint(4, 7)) for _ in range(60)], [edited(r, root, r.randint(4, 7)) for _ in range(150)]
+    assert p3_recall(spark, tmp_path, train, held + [word() for _ in range(300)]) > 0.99
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text("abcd", min_size=1, max_size=overlap.WIDTH), min_size=1, max_size=20), st.text("abcd", min_size=1, max_size=overlap.WIDTH))
 def test_backward_search_finds_the_longest_suffix(windows, query):
