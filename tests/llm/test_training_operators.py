@@ -158,6 +158,13 @@ def test_p3_family_of_a_third_of_the_held_out_texts(spark, tmp_path):
     assert p3_recall(spark, tmp_path, train, held + [word() for _ in range(300)]) > 0.99
 
 
+def test_p3_versions_beside_an_exact_copy(spark, tmp_path):
+    r = random.Random(9)
+    train = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100)) for _ in range(40)]
+    held = train + [edited(r, t, 7) for t in train for _ in range(8)]
+    assert p3_recall(spark, tmp_path, train, held) > 0.99
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text("abcd", min_size=1, max_size=overlap.WIDTH), min_size=1, max_size=20), st.text("abcd", min_size=1, max_size=overlap.WIDTH))
 def test_backward_search_finds_the_longest_suffix(windows, query):
