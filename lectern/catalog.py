@@ -374,7 +374,7 @@ def filter_pipeline(spark, sf_dir):
 @query()
 def text_pipeline(spark, sf_dir):
     """Whole curation on the text columns with the offline embedder."""
-    out = curation.text_pipeline(qa(spark, sf_dir), X.apply(X.hashing_embedder(), "array<double>"), table(spark, sf_dir, "type_thresholds"))
+    out = curation.text_pipeline(qa(spark, sf_dir), "row_id", X.apply(X.hashing_embedder(), "array<double>"), table(spark, sf_dir, "type_thresholds"))
     return out.select("row_id", "type", F.round("qa_sim", 6).alias("qa_sim"))
 
 

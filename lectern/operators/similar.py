@@ -13,19 +13,19 @@ from ..storage import written
 BLOCK = 2000
 
 
-def similar_pairs(df: DataFrame, key: str, group: str, vector: str, threshold: float | None = None, *, block: int = BLOCK) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, group: str, vector: str, threshold: float | str | None = None, *, block: int = BLOCK) -> DataFrame:
     """(group, i, j, sim), i < j in the key's order: pairs of a group whose cosine exceeds the threshold (all pairs without one).
 
-    Rows of a group are dealt by hash into blocks of about ``block`` rows; each pair of blocks is one task's matrix product,
+    The threshold is one number, or the name of a column that holds its group's. Rows of a group are dealt by hash into blocks of about ``block`` rows; each pair of blocks is one task's matrix product,
     so no task holds more than two blocks and a hot group spreads over many. Null vectors are left out, zero ones have
     similarity 0. Exact: every pair of the group is compared.
     """
-    rows = df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    rows = df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)).cast("double").alias("t"))
     sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("__b"))
     placed = rows.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("k"), F.col("__b")).cast("int"))
     # a row of block b takes part in the block pairs (b, c) and (c, b), named by the smaller block first
-    to = placed.select("g", "k", "v", "b", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)).alias("c"))
-    to = to.select("g", F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"), "b", "k", "v")
+    to = placed.select("g", "k", "v", "t", "b", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)).alias("c"))
+    to = to.select("g", F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"), "b", "k", "v", "t")
     kind = df.schema[group].dataType.simpleString()
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -36,7 +36,7 @@ def similar_pairs(df: DataFrame, key: str, group: str, vector: str, threshold: f
         k, b = pdf["k"].to_numpy(), pdf["b"].to_numpy()
         left, right = np.flatnonzero(b == x), np.flatnonzero(b == y)
         s = m[left] @ m[right].T
-        ok = s > threshold if threshold is not None else np.ones_like(s, bool)
+        ok = s > pdf["t"].iloc[0] if threshold is not None else np.ones_like(s, bool)
         ok &= (k[left][:, None] < k[right][None, :]) if x == y else True
         i, j = np.nonzero(ok)
         a, c = k[left[i]], k[right[j]]
@@ -62,7 +62,7 @@ def greedy_rounds(edges: DataFrame) -> DataFrame:
     return state
 
 
-def greedy_dedup(df: DataFrame, key: str, group: str, vector: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+def greedy_dedup(df: DataFrame, key: str, group: str, vector: str, threshold: float | str) -> tuple[DataFrame, DataFrame]:
     """(kept rows, removed pairs (j, i, sim)): each removed row with the first kept neighbour that removed it."""
     edges = written(similar_pairs(df, key, group, vector, threshold), "greedy-pairs")
     state = greedy_rounds(edges)

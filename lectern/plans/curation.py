@@ -25,8 +25,9 @@ def filter_pipeline(df: DataFrame, key: str, group: str, question: str, answer:
     return kept.where(F.col("qa_sim") >= qa_lower)
 
 
-def text_pipeline(df: DataFrame, embed, thresholds: DataFrame, *, longest: int = 1000) -> DataFrame:
-    """Valid rows within the length limit, with embeddings of preprocessed text, thresholds per type and relevance applied.
+def text_pipeline(df: DataFrame, key: str, embed, thresholds: DataFrame, *, longest: int = 1000) -> DataFrame:
+    """Valid rows within the length limit, with embeddings of preprocessed text; near-duplicate questions removed, then
+    irrelevant pairs, by each type's thresholds.
 
     Cheap filters come first; each distinct text is embedded once.
     """
@@ -36,7 +37,8 @@ def text_pipeline(df: DataFrame, embed, thresholds: DataFrame, *, longest: int =
 
     rows = memoised(memoised(rows, "__q", "q_vec", embed), "__a", "a_vec", embed)
     rows = C.with_thresholds(rows.withColumn("qa_sim", V.cosine(F.col("q_vec"), F.col("a_vec"))), thresholds)
-    return written(C.relevant(rows).drop("__q", "__a"), "relevant")
+    kept, _ = S.greedy_dedup(written(rows.drop("__q", "__a"), "embedded"), key, "type", "q_vec", "qq_upper")
+    return written(C.relevant(kept), "relevant")
 
 
 def score_pipeline(df: DataFrame, replies: DataFrame, least: int) -> DataFrame:

@@ -12,6 +12,7 @@ from lectern.operators import runs as R
 from lectern.operators import similar as S
 from lectern.operators import splits as P
 from lectern.operators import training as M
+from lectern.plans import curation
 from lectern.sources import config, readers, sinks
 
 
@@ -154,6 +155,28 @@ def test_best_checkpoint_ties_and_nan(spark):
     assert [(r["run"], r["step"]) for r in R.best_checkpoint(df, "run").collect()] == [(1, 2)]
 
 
+def test_text_pipeline_equals_a_scan(spark):
+    r = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    rows = [(i, r.choice(["s", "t"]), " ".join(r.choice(words) for _ in range(4)), " ".join(r.choice(words) for _ in range(4))) for i in range(60)]
+    limits = [("s", 0.3, 0.6), ("t", 0.2, 0.9)]
+    df = spark.createDataFrame(rows, "row_id long, type string, question string, answer string")
+    got = curation.text_pipeline(df, "row_id", X.apply(X.hashing_embedder(), "array<double>"), spark.createDataFrame(limits, "type string, qa_lower double, qq_upper double"))
+    got = {x["row_id"] for x in got.collect()}
+    embed = X.hashing_embedder()()
+    dot = lambda a, b: sum(x * y for x, y in zip(*embed([a, b])))
+    want, gone = set(), 0
+    for kind, low, up in limits:
+        kept = []
+        for i, t, q, a in rows:
+            if t == kind and not any(dot(q, k) > up for k in kept):
+                kept.append(q)
+                want |= {i} if dot(q, a) >= low else set()
+            elif t == kind and dot(q, a) >= low:
+                gone += 1
+    assert got == want and gone
+
+
 def test_memoised_seam(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "t string")
     rows = X.memoised(df, "t", "v", X.apply(X.hashing_embedder(8), "array<double>")).collect()
