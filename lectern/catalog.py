@@ -671,10 +671,8 @@ def seam_paraphrase(spark, sf_dir):
 @query()
 def seam_generation(spark, sf_dir):
     """Questions of a section and type one after another, each prompt holding the earlier ones."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    plan = P.quota_plan(readers.sections(docs, "doc_id", "text").drop("section"), "doc_id").where("section_no >= 0")
-    asked = plan.select("doc_id", "section_no", "type", F.explode(F.sequence(F.lit(1), F.greatest(F.least(F.col("n"), F.lit(3)), F.lit(1)))).alias("no"), F.col("type").alias("prompt"))
-    return X.in_sequence(asked, ["doc_id", "section_no", "type"], "no", X.echo_generator("问：")).select("doc_id", "section_no", "type", "no", "text")
+    asked = P.asked(readers.sections(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
+    return X.in_sequence(asked, ["doc_id", "section_no", "type"], "n", X.echo_generator("问："))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,19 +100,24 @@ def memoised(df: DataFrame, text: str, out: str, fn: Callable[[Column], Column])
     return df.join(once.withColumnRenamed(text, "__t"), df[text].eqNullSafe(F.col("__t")), "left").drop("__t")
 
 
-def in_sequence(df: DataFrame, keys: list[str], order: str, load: Callable[[], Batch], out: str = "text") -> DataFrame:
-    """Generates one text per row, each prompt holding the group's earlier results: (keys, order, out).
+def in_sequence(df: DataFrame, keys: list[str], n: str, load: Callable[[], Batch], out: str = "text") -> DataFrame:
+    """Generates ``n`` texts for each row, each prompt holding the row's earlier results: (keys, no from 1, out).
 
-    A group is one section and type with a bounded quota, so it fits a task.
+    A row is one section and type with a bounded quota; its prompt travels once, however many texts are asked.
     """
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"{k} {fields[k]}" for k in [*keys, order, "prompt"]) + f", {out} string"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fn, earlier = load(), []
-        pdf = pdf.sort_values(order)
-        for p in pdf["prompt"]:
-            earlier.append(fn(["\n".join([p, *earlier])])[0])
-        return pdf[[*keys, order, "prompt"]].assign(**{out: earlier})
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + f", no int, {out} string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fn = load()
+        for pdf in batches:
+            for at in range(0, len(pdf), 100):
+                rows = []
+                for *key, count, prompt in pdf[[*keys, n, "prompt"]].iloc[at : at + 100].itertuples(index=False, name=None):
+                    earlier: list[str] = []
+                    for no in range(1, count + 1):
+                        earlier.append(fn(["\n".join([prompt, *earlier])])[0])
+                        rows.append((*key, no, earlier[-1]))
+                yield pd.DataFrame(rows, columns=[*keys, "no", out])
+
+    return df.select(*keys, n, "prompt").mapInPandas(run, schema)

@@ -58,6 +58,17 @@ def quota_plan(sections: DataFrame, file: str) -> DataFrame:
     return each.unionByName(quota.select(file, F.lit(-1).alias("section_no"), F.col("x.type").alias("type"), F.col("x.whole").alias("n")))
 
 
+def asked(sections: DataFrame, file: str) -> DataFrame:
+    """(file, section_no, type, n, prompt): the quota plan without quotas of 0, each with its prompt.
+
+    The prompt names the type and holds the section, or for section_no -1 all sections of the file in order.
+    """
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_no", "section"))), lambda x: x["section"]), "\n")
+    texts = sections.select(file, "section_no", "section").unionByName(sections.groupBy(file).agg(whole.alias("section")).select(file, F.lit(-1).alias("section_no"), "section"))
+    plan = quota_plan(sections.drop("section"), file).where("n > 0")
+    return plan.join(texts, [file, "section_no"]).select(file, "section_no", "type", "n", F.concat_ws("\n", "type", "section").alias("prompt"))
+
+
 def augmented(df: DataFrame, copies: int) -> DataFrame:
     """Each row ``copies`` times with ``copy_no``; 0 is the original, the others await a paraphrase."""
     return df.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))

@@ -103,6 +103,19 @@ def test_quota_plan_of_the_published_lectures(spark):
     assert [r["s"] for r in plan.groupBy("file").agg(F.sum("n").alias("s")).orderBy("file").collect()] == [986, 990, 986, 1000, 988, 1000, 988, 990, 993, 984]
 
 
+def test_every_question_of_the_quota_is_asked(spark):
+    rows = [("a", 0, "## x"), ("a", 1, "## y")] + [("b", i, f"## {i}") for i in range(120)]
+    asked = P.asked(spark.createDataFrame(rows, "file string, section_no int, section string"), "file")
+    got = X.in_sequence(asked, ["file", "section_no", "type"], "n", X.echo_generator("?")).collect()
+    plan = P.quota_plan(spark.createDataFrame([r[:2] for r in rows], "file string, section_no int"), "file").collect()
+    count = {}
+    for x in got:
+        count.setdefault((x["file"], x["section_no"], x["type"]), []).append(x["no"])
+    assert {k: sorted(v) for k, v in count.items()} == {(x["file"], x["section_no"], x["type"]): list(range(1, x["n"] + 1)) for x in plan if x["n"]}
+    prompts = {(x["file"], x["section_no"]): x["prompt"].split("\n", 1)[1] for x in asked.collect()}
+    assert prompts["a", 1] == "## y" and prompts["a", -1] == "## x\n## y" and prompts["b", -1] == "\n".join(f"## {i}" for i in range(120))
+
+
 def test_sections(spark):
     text = "intro\n## a  \nx\t\n### in\n##no\n## \n## ---\nlast\n"
     rows = readers.sections(spark.createDataFrame([(1, text), (2, "no section"), (3, None)], "id long, text string"), "id", "text").collect()
