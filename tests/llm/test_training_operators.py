@@ -95,9 +95,9 @@ def test_p2_defects_kept_out(spark):
         pytest.skip("test data not there")
     t = pq.read_table(f"{DATA}/qa_pairs.parquet").to_pylist()
     pairs = [(x["question"], x["answer"]) for x in t if x["question"] and x["answer"]]
-    w = pair_defects.train(pairs[: len(pairs) * 3 // 4])
+    m = pair_defects.train(pairs[: len(pairs) * 3 // 4])
     qs, as_, ys = pair_defects.Maker(pairs[len(pairs) * 3 // 4 :], seed=99).examples()
-    s = pair_defects.scores(*pair_defects._matrix(qs, as_), w)
+    s = pair_defects.scores(*pair_defects._matrix(qs, as_, m.spoken), m.weights)
     y = np.array(ys)
     hit = [(s[y == k + 1, k] > 0).mean() for k in range(len(pair_defects.DEFECTS))]
     assert min(hit[0], hit[2], hit[3], hit[4]) > 0.9 and hit[1] > 0.6, hit
@@ -109,12 +109,16 @@ def test_p2_clear_cases(spark):
     rows = spark.read.parquet(f"{DATA}/qa_pairs.parquet").select("row_id", "question", "answer")
     q = "在某书院的作业里，频道之间的关系由 $K_{4}$ 描述，请给出笛卡尔积的定义并说明理由。"
     own = spark.createDataFrame([(-1, q, None), (-2, q, "抱歉，我无法回答这个关于笛卡尔积的问题。"), (-3, q, "题目是：" + q), (-4, None, None)], "row_id long, question string, answer string")
-    got = {r["row_id"]: max(pair_defects.DEFECTS, key=lambda d: r[d]) for r in pair_defects.defects(rows.unionByName(own), "row_id", "question", "answer").where("row_id < 0").collect()}
+    got = {r["row_id"]: max(pair_defects.DEFECTS, key=lambda d: r[d]) for r in pair_defects.defects(rows.unionByName(own), "row_id", "question", "answer", pair_defects.fitted(rows, "row_id", "question", "answer")).where("row_id < 0").collect()}
     assert got == {-1: "empty", -2: "refusal", -3: "copied", -4: "empty"}
 
 
-def test_language():
-    assert [pair_defects.language(x) for x in ("$x$", "这是一个中文句子。", "this is the answer that we want", "Das ist nicht die Antwort auf diese Frage und wird es auch nicht", "Обратное неверно, поскольку", "仮定よりこれが成り立ちます")] == ["", "zh", "en", "de", "ru", "ja"]
+def test_scripts_and_formulas():
+    texts = ["$x$", "这是一个中文句子。", "this is the answer that we want", "Обратное неверно, поскольку", "仮定よりこれが成り立ちます", "| i | value |", ""]
+    m = pair_defects.Masked(pa.array(texts))
+    assert pair_defects.script(m.shares()).tolist() == [0, 1, 4, 3, 2, 0, 0]
+    m = pair_defects.Masked(pa.array(["a $x+1", "a $x$ b", "```\nif x", "`x`", None]))
+    assert m.open_formula.tolist() == [True, False, False, False, False] and m.open_block.tolist() == [False, False, True, False, False]
 
 
 def test_p3_equals_brute_force(spark, tmp_path):
