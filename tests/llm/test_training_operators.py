@@ -169,6 +169,40 @@ def test_p3_versions_beside_an_exact_copy(spark, tmp_path):
     assert p3_recall(spark, tmp_path, train, held) > 0.99
 
 
+@pytest.mark.parametrize("many", [400, 4000])
+def test_p3_recall_by_length_and_size(spark, tmp_path, many):
+    """Pairs of similarity 0.60 to 0.68 are found alike at every length and in a corpus ten times as large."""
+    r = random.Random(many)
+    word = lambda n: "".join(r.choice("的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会abcdefgh") for _ in range(n))
+    pairs = []
+    while len(pairs) < 240:
+        a = word(r.choice([30, 60, 120, 200, 300]))
+        b = edited(r, a, max(1, round(len(a) * r.uniform(0.04, 0.1))))
+        if 0.6 <= jaccards([a, b]).get((0, 1), 0) <= 0.68:
+            pairs.append((a, b))
+    rows = [{"sample_id": 2 * i + k, "split": ("train", "eval")[k], "source": "s", "question": t} for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    rows += [{"sample_id": 10_000 + i, "split": r.choice(["train", "test"]), "source": "s", "question": word(r.randint(20, 200))} for i in range(many)]
+    got = {(x["sample_id_a"], x["sample_id_b"]) for x in overlap.p3_found(spark, make(spark, tmp_path, split_rows=rows)).collect()}
+    assert len(got & {(2 * i, 2 * i + 1) for i in range(len(pairs))}) >= 0.99 * len(pairs)
+
+
+def test_p3_shared_preamble(spark, tmp_path, monkeypatch):
+    """Questions that share 60 characters and no more give hardly any candidates, whatever parts their slots are split into."""
+    monkeypatch.setattr(overlap, "SHARD_WINDOWS", 300)
+    monkeypatch.setattr(overlap, "SHARD_QUERIES", 300)
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    start, own = word(60), [word(80) for _ in range(1600)]
+    rows = [{"sample_id": i, "split": ("train", "eval")[i % 2], "source": "s", "question": start + t} for i, t in enumerate(own)]
+    rows += [{"sample_id": 5000 + i, "split": ("eval", "train")[i % 2], "source": "s", "question": start + edited(r, own[i], 2)} for i in range(100)]
+    texts = overlap.side_texts(overlap.sides(spark, make(spark, tmp_path, split_rows=rows)).select("held", "question")).cache()
+    indexes, streams, total = overlap.shard_sizes(texts)
+    assert indexes.max() > 1 and streams.max() > 1
+    got = overlap.candidate_pairs(overlap.routed_windows(texts, indexes, streams), 4, 0.6).count()
+    texts.unpersist()
+    assert 100 <= got < 2000
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text("abcd", min_size=1, max_size=overlap.WIDTH), min_size=1, max_size=20), st.text("abcd", min_size=1, max_size=overlap.WIDTH))
 def test_backward_search_finds_the_longest_suffix(windows, query):
@@ -182,7 +216,7 @@ def test_backward_search_finds_the_longest_suffix(windows, query):
         assert len(hit) == 0
     else:
         assert length[0] == best
-        assert sorted(index.window[lo[0] : hi[0]].tolist()) == [i for i, w in enumerate(windows) if w.endswith(query[len(query) - best :])]
+        assert sorted(index.located(np.arange(lo[0], hi[0])).tolist()) == [i for i, w in enumerate(windows) if w.endswith(query[len(query) - best :])]
 
 
 def test_p4_largest_remainder():
