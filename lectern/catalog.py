@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import external as X
 from .functions import names as N
+from .functions import prompts as Q
 from .functions import text as T
 from .functions import vectors as V
 from .operators import curate as C
@@ -72,6 +73,12 @@ def valid(spark, sf_dir) -> DataFrame:
     return C.valid(qa(spark, sf_dir))
 
 
+def valid_lengths(spark, sf_dir) -> DataFrame:
+    """(row_id, type, q, a): lengths of the valid pairs; texts are measured before repeated deliveries are dropped, so none is shuffled."""
+    v = C.valid(table(spark, sf_dir, "qa_pairs"))
+    return C.once(v.select("row_id", "type", F.length("question").alias("q"), F.length("answer").alias("a")), "row_id")
+
+
 def messages(spark, sf_dir) -> DataFrame:
     return C.once(table(spark, sf_dir, "chat_messages"), "message_id")
 
@@ -281,27 +288,27 @@ def _hist(df, v, by):
 
 @query(_hist_sql("length(question)", "type"))
 def len_hist_q(spark, sf_dir):
-    return _hist(valid(spark, sf_dir), F.length("question"), "type")
+    return _hist(valid_lengths(spark, sf_dir), F.col("q"), "type")
 
 
 @query(_hist_sql("length(answer)", "type"))
 def len_hist_a(spark, sf_dir):
-    return _hist(valid(spark, sf_dir), F.length("answer"), "type")
+    return _hist(valid_lengths(spark, sf_dir), F.col("a"), "type")
 
 
 @query(_hist_sql("greatest(length(question), length(answer))", None))
 def len_hist_pair_all(spark, sf_dir):
-    return _hist(valid(spark, sf_dir), F.greatest(F.length("question"), F.length("answer")), None)
+    return _hist(valid_lengths(spark, sf_dir), F.greatest("q", "a"), None)
 
 
 @query(f"WITH {QV} SELECT CASE WHEN grouping(type) = 1 THEN '{C.ALL}' ELSE type END AS type, CAST(max(length(question)) AS INTEGER) AS max_q, CAST(max(length(answer)) AS INTEGER) AS max_a, CAST(max(greatest(length(question), length(answer))) AS INTEGER) AS max_pair FROM qv GROUP BY ROLLUP (type)")
 def len_max_rollup(spark, sf_dir):
-    return C.largest_lengths(valid(spark, sf_dir))
+    return C.largest_lengths(valid_lengths(spark, sf_dir), "q", "a")
 
 
 @query(f"WITH h AS ({_hist_sql('length(question)', 'type')}) SELECT bin_no, interval, round(max(percentage) FILTER (type = '定义解释类'), 2) AS explain, round(max(percentage) FILTER (type = '逻辑推理类'), 2) AS infer FROM h GROUP BY bin_no, interval")
 def len_hist_pivot(spark, sf_dir):
-    h = C.length_histogram(valid(spark, sf_dir).withColumn("__v", F.length("question")), "__v", "type")
+    h = C.length_histogram(valid_lengths(spark, sf_dir), "q", "type")
     h = h.withColumn("percentage", F.round("percentage", 6))
     return C.wide(h, "type", ["定义解释类", "逻辑推理类"]).withColumnsRenamed({"定义解释类": "explain", "逻辑推理类": "infer"})
 
@@ -321,10 +328,11 @@ def sim_summary(spark, sf_dir):
 
 @query(f"WITH {QV}, f AS (SELECT * FROM qv WHERE greatest(length(question), length(answer)) <= 500), u AS (SELECT min(row_id) AS row_id FROM f GROUP BY md5(question || '|||' || answer)), st AS (SELECT 0 AS stage_no, 'raw' AS stage, count(*) AS n FROM (SELECT DISTINCT row_id FROM qa_pairs) UNION ALL SELECT 1, 'valid', count(*) FROM qv UNION ALL SELECT 2, 'length', count(*) FROM f UNION ALL SELECT 3, 'distinct', count(*) FROM u) SELECT stage_no, stage, n, round(n / coalesce(lag(n) OVER (ORDER BY stage_no), n) * 100, 6) AS retention, round(n / first_value(n) OVER (ORDER BY stage_no) * 100, 6) AS overall FROM st")
 def stage_funnel(spark, sf_dir):
-    raw, v = qa(spark, sf_dir), valid(spark, sf_dir)
-    short = C.length_filter(v, pair=500)
-    once = short.groupBy(T.content_hash(F.col("question"), F.col("answer"))).agg(F.min("row_id").alias("row_id"))
-    return C.funnel([("raw", raw), ("valid", v), ("length", short), ("distinct", once)]).withColumns({"retention": F.round("retention", 6), "overall": F.round("overall", 6)})
+    t = table(spark, sf_dir, "qa_pairs")
+    ok, (q, a) = C.reason(F.col("question"), F.col("answer")).isNull(), (T.strip(F.col(c)) for c in ("question", "answer"))
+    rows = C.once(t.select("row_id", ok.alias("ok"), F.greatest(F.length(q), F.length(a)).alias("n"), T.content_hash(q, a).alias("hash")), "row_id")
+    ok, short = F.col("ok"), F.col("ok") & (F.col("n") <= 500)
+    return C.funnel(rows, [("raw", F.lit(True)), ("valid", ok), ("length", short)], distinct=("distinct", F.col("hash"))).withColumns({"retention": F.round("retention", 6), "overall": F.round("overall", 6)})
 
 
 # --- similarity, de-duplication, sampling
@@ -340,16 +348,20 @@ def qq_pairs(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT label, round(avg(CASE WHEN sim > 0.3 THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) AS pairs FROM pr GROUP BY label")
 def share_above(spark, sf_dir):
-    s = S.similar_pairs(vectors(spark, sf_dir), "vec_id", "label", "embedding")
-    return s.groupBy("label").agg(F.round(F.avg((F.col("sim") > 0.3).cast("double")), 6).alias("share"), F.count("*").alias("pairs"))
+    return S.share_above(vectors(spark, sf_dir), "vec_id", "label", "embedding", 0.3).withColumn("share", F.round("share", 6))
 
 
-_GREEDY = f"""{_PAIRS}, e AS (SELECT label, i, j FROM pr WHERE sim > 0.25), nb AS (SELECT label, j, list(i) AS nbrs, row_number() OVER (PARTITION BY label ORDER BY j) AS rn FROM e GROUP BY label, j),
+def _greedy_sql(above: str) -> str:
+    """CTEs after pr (label, i, j, sim): g (j) holds what a scan in order removes."""
+    return f"""e AS (SELECT label, i, j FROM pr WHERE {above}), nb AS (SELECT label, j, list(i) AS nbrs, row_number() OVER (PARTITION BY label ORDER BY j) AS rn FROM e GROUP BY label, j),
 f AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS rm FROM nb UNION ALL
 SELECT nb.label, nb.rn, CASE WHEN len(list_filter(nb.nbrs, lambda x: NOT list_contains(f.rm, x))) > 0 THEN list_append(f.rm, nb.j) ELSE f.rm END FROM f JOIN nb ON nb.label = f.label AND nb.rn = f.rn + 1),
 g AS (SELECT unnest(arg_max(rm, rn)) AS j FROM f GROUP BY label)"""
 
 
+_GREEDY = f"{_PAIRS}, {_greedy_sql('sim > 0.25')}"
+
+
 @query(f"WITH RECURSIVE {_GREEDY} SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT j FROM g)")
 def greedy_dedup(spark, sf_dir):
     kept, _ = S.greedy_dedup(vectors(spark, sf_dir), "vec_id", "label", "embedding", 0.25)
@@ -362,23 +374,51 @@ def dup_pairs(spark, sf_dir):
     return pairs.select("j", "i")
 
 
-_GQ = _GREEDY.replace(VEC, f"{QAVEC}, vec2 AS (SELECT vec_id, label, q AS v FROM qav)").replace("FROM vec a JOIN vec b", "FROM vec2 a JOIN vec2 b")
+_UPPER, _LOWER = "CASE WHEN label % 2 = 0 THEN 0.25 ELSE 0.3 END", "CASE WHEN label % 3 = 0 THEN 0.02 ELSE -0.05 END"
+_GQ = f"{QAVEC}, vec2 AS (SELECT vec_id, label, q AS v FROM qav), " + _PAIRS.replace(VEC + ", ", "").replace("FROM vec a JOIN vec b", "FROM vec2 a JOIN vec2 b") + ", " + _greedy_sql(f"sim > {_UPPER}")
 
 
-@query(f"WITH RECURSIVE {_GQ} SELECT vec_id, round({COS.format(a='q', b='a')}, 6) AS qa_sim FROM qav WHERE vec_id NOT IN (SELECT j FROM g) AND {COS.format(a='q', b='a')} >= 0.0")
+@query(f"WITH RECURSIVE {_GQ} SELECT vec_id, round({COS.format(a='q', b='a')}, 6) AS qa_sim FROM qav WHERE vec_id NOT IN (SELECT j FROM g) AND {COS.format(a='q', b='a')} >= {_LOWER}")
 def filter_pipeline(spark, sf_dir):
-    out = curation.filter_pipeline(qa_vectors(spark, sf_dir), "vec_id", "label", "q", "a", qq_upper=0.25, qa_lower=0.0)
+    rows = qa_vectors(spark, sf_dir).withColumns({"qq_upper": F.expr(_UPPER).cast("double"), "qa_lower": F.expr(_LOWER).cast("double")})
+    out = curation.filter_pipeline(rows, "vec_id", "label", "q", "a", qq_upper="qq_upper", qa_lower="qa_lower")
     return out.select("vec_id", F.round("qa_sim", 6).alias("qa_sim"))
 
 
-@query()
+def _words_sql(x: str) -> str:
+    """Preprocessed text."""
+    t = f"trim(regexp_replace(regexp_replace(regexp_replace({x}, '{T.LATEX}', '', 'g'), '[^\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"array_to_string(list_filter(string_split({t}, ' '), lambda w: length(w) > 1 AND NOT list_contains([{_STOPS}], w)), ' ')"
+
+
+def _signed_sql(x: str) -> str:
+    """The offline embedder's counts, before they are scaled."""
+    codes = f"list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: unicode(c))"
+    return f"list_transform(range(0, 64), lambda k: coalesce(list_sum(list_transform(list_filter({codes}, lambda c: (c // 2) % 64 = k), lambda c: CASE WHEN c % 2 = 1 THEN -1.0 ELSE 1.0 END)), 0.0)::DOUBLE)"
+
+
+_ZERO = "CASE WHEN list_dot_product({a}, {a}) < 1e-12 OR list_dot_product({b}, {b}) < 1e-12 THEN 0.0 ELSE " + COS + " END"
+_TEXT = f"""{QV}, t AS (SELECT type, max(qa_lower) AS lo, max(qq_upper) AS up FROM type_thresholds GROUP BY type),
+wd AS (SELECT row_id, qv.type AS label, {_words_sql('question')} AS qw, {_words_sql('answer')} AS aw, coalesce(lo, 0.5) AS lo, coalesce(up, 0.85) AS up FROM qv LEFT JOIN t ON qv.type = t.type WHERE qv.type <> '' AND greatest(length(question), length(answer)) <= 1000),
+ve AS (SELECT row_id, label, lo, up, {_signed_sql('qw')} AS q, {_signed_sql('aw')} AS a FROM wd),
+pr AS (SELECT x.label, x.row_id AS i, y.row_id AS j, x.up AS up, {_ZERO.format(a='x.q', b='y.q')} AS sim FROM ve x JOIN ve y ON x.label = y.label AND x.row_id < y.row_id), {_greedy_sql('sim > up')}"""
+
+
+@query(f"WITH RECURSIVE {_TEXT} SELECT row_id, label AS type, round({_ZERO.format(a='q', b='a')}, 6) AS qa_sim FROM ve WHERE row_id NOT IN (SELECT j FROM g) AND {_ZERO.format(a='q', b='a')} >= lo")
 def text_pipeline(spark, sf_dir):
     """Whole curation on the text columns with the offline embedder."""
     out = curation.text_pipeline(qa(spark, sf_dir), "row_id", X.apply(X.hashing_embedder(), "array<double>"), table(spark, sf_dir, "type_thresholds"))
     return out.select("row_id", "type", F.round("qa_sim", 6).alias("qa_sim"))
 
 
-@query()
+_DRAWN = """n AS (SELECT label, count(*) AS n, count(*) * (count(*) - 1) // 2 AS total FROM embeddings GROUP BY label),
+d AS (SELECT label, p, md5('42|' || label || '|' || p) AS r FROM n, generate_series(1, total) s(p) WHERE total <= 100
+UNION ALL SELECT label, CAST('0x' || substr(r, 1, 15) AS BIGINT) % total + 1 AS p, r FROM (SELECT label, total, md5('42|' || label || '|' || t) AS r FROM n, range(1, 171) s(t) WHERE total > 100)),
+k AS (SELECT label, p, row_number() OVER (PARTITION BY label ORDER BY r, p) AS k FROM (SELECT label, p, min(r) AS r FROM d GROUP BY label, p)),
+ij AS (SELECT label, p, CAST(ceil((1 + sqrt(1 + 8.0 * p)) / 2) AS BIGINT) AS j FROM k WHERE k <= 50), pair AS (SELECT label, CAST(p - (j - 1) * (j - 2) // 2 AS BIGINT) AS i, j FROM ij)"""
+
+
+@query(f"WITH {_DRAWN} SELECT label, i, j FROM pair")
 def pair_sample(spark, sf_dir):
     return S.sampled_pairs(vectors(spark, sf_dir), "vec_id", "label", 50, 42)
 
@@ -388,13 +428,39 @@ def _numbered(spark, sf_dir):
     return vectors(spark, sf_dir).withColumn("no", F.row_number().over(W.partitionBy("label").orderBy("vec_id")).cast("long"))
 
 
-@query()
-def sampled_cosine(spark, sf_dir):
+def _sampled(spark, sf_dir):
     v = _numbered(spark, sf_dir)
     pairs = S.sampled_pairs(v, "vec_id", "label", 50, 42)
     used = S.rows_used(v, pairs, "no", "label")
     a, b = used.select("label", F.col("no").alias("i"), F.col("embedding").alias("ea")), used.select("label", F.col("no").alias("j"), F.col("embedding").alias("eb"))
-    return pairs.join(a, ["label", "i"]).join(b, ["label", "j"]).select("label", "i", "j", T.fixed8(V.cosine(F.col("ea"), F.col("eb"))).alias("cosine_similarity"))
+    return v, pairs.join(a, ["label", "i"]).join(b, ["label", "j"]).select("label", "i", "j", T.fixed8(V.cosine(F.col("ea"), F.col("eb"))).alias("cosine_similarity"))
+
+
+_SAMPLED = f"{VEC}, {_DRAWN}, num AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS no FROM vec), sm AS (SELECT pair.label, i, j, printf('%.8f', {COS.format(a='a.v', b='b.v')}) AS cosine_similarity FROM pair JOIN num a ON a.label = pair.label AND a.no = i JOIN num b ON b.label = pair.label AND b.no = j)"
+
+
+@query(f"WITH {_SAMPLED} SELECT label, i, j, cosine_similarity FROM sm")
+def sampled_cosine(spark, sf_dir):
+    return _sampled(spark, sf_dir)[1]
+
+
+def _as_files(df):
+    return df.select(F.lit("embeddings").alias("dataset"), F.col("label").cast("string").alias("file"), *[c for c in df.columns if c != "label"])
+
+
+@query(f"WITH {_SAMPLED} SELECT 'embeddings' AS dataset, CAST(sm.label AS VARCHAR) AS file, CAST(row_number() OVER (PARTITION BY sm.label ORDER BY i, j) AS INTEGER) AS sample_no, CAST(i AS BIGINT) AS line_no_a, CAST(j AS BIGINT) AS line_no_b, 't' || i % 3 AS type_a, 't' || j % 3 AS type_b, cosine_similarity, 'q' || a.vec_id AS question_a, 'q' || b.vec_id AS question_b FROM sm JOIN num a ON a.label = sm.label AND a.no = i JOIN num b ON b.label = sm.label AND b.no = j")
+def sampled_details(spark, sf_dir):
+    v, pairs = _sampled(spark, sf_dir)
+    rows = v.select("label", "no", F.col("no").alias("line_no"), F.concat(F.lit("t"), F.col("no") % 3).alias("type"), F.concat(F.lit("q"), F.col("vec_id")).alias("question"))
+    return sinks.detail_rows(_as_files(pairs), _as_files(rows), by=["dataset", "file"])
+
+
+@query(f"WITH {_SAMPLED}, st AS (SELECT label, count(*) AS c, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS mn, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.75) AS p75, max(x) AS mx FROM (SELECT label, CAST(cosine_similarity AS DOUBLE) AS x FROM sm) GROUP BY label) SELECT 'embeddings' AS dataset, CAST(n.label AS VARCHAR) AS file, n.n AS valid_qa_count, CAST(0 AS BIGINT) AS skipped_line_count, coalesce(c, 0) AS sampled_pair_count, {', '.join(f"round(coalesce({x}, 0), 6) AS {y}" for x, y in (('mean', 'mean'), ('std', 'std'), ('mn', '"min"'), ('p25', 'p25'), ('p50', 'median'), ('p75', 'p75'), ('mx', '"max"')))} FROM n LEFT JOIN st ON st.label = n.label")
+def sampled_summary(spark, sf_dir):
+    v, pairs = _sampled(spark, sf_dir)
+    counts = v.groupBy("label").agg(F.count("*").alias("valid"), F.lit(0).cast("long").alias("skipped"))
+    out = sinks.summary_rows(_as_files(pairs), _as_files(counts), by=["dataset", "file"])
+    return out.select(*sinks.SUMMARY[:5], *[F.round(F.col(c).cast("double"), 6).alias(c) for c in sinks.SUMMARY[5:]])
 
 
 @query(f"WITH {QA} SELECT row_id, CAST(42 + CAST('0x' || substr(md5(coalesce(_file, '')), 1, 8) AS BIGINT) AS BIGINT) AS seed FROM qa")
@@ -410,20 +476,19 @@ _RANK = "row_number() OVER (ORDER BY md5('{seed}|' || row_id)) <= ceil((SELECT c
 
 @query(f"WITH {QA} SELECT row_id, CASE WHEN {_RANK.format(seed=42, t='qa', p=0.2)} THEN 'test' ELSE 'train_eval' END AS split FROM qa")
 def fixed_split(spark, sf_dir):
-    return P.test_split(qa(spark, sf_dir).select("row_id"), "row_id", 0.2)
+    return P.test_split(C.once(table(spark, sf_dir, "qa_pairs").select("row_id"), "row_id"), "row_id", 0.2)
 
 
 @query(f"WITH {QA}, s AS (SELECT row_id, {_RANK.format(seed=42, t='qa', p=0.2)} AS test FROM qa), pool AS (SELECT row_id FROM s WHERE NOT test) " + " UNION ALL ".join(f"SELECT row_id, {i} AS split_id, CASE WHEN {_RANK.format(seed=42 + i, t='pool', p=0.125)} THEN 'eval' ELSE 'train' END AS part FROM pool" for i in range(3)))
 def epoch_resplit(spark, sf_dir):
-    pool = P.test_split(qa(spark, sf_dir).select("row_id"), "row_id", 0.2).where("split = 'train_eval'").select("row_id")
-    parts = [P.resplit(pool, "row_id", 0.125, i) for i in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = C.once(table(spark, sf_dir, "qa_pairs").select("row_id"), "row_id")
+    pool = P.test_split(rows, "row_id", 0.2).where("split = 'train_eval'").select("row_id")
+    return P.resplits(pool, "row_id", 0.125, [0, 1, 2])
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, CAST(n AS INTEGER) AS n, array_to_string(CASE WHEN k = 0 THEN [n] ELSE list_sort(list_distinct(list_concat(list_filter(range(1, n + 1), lambda e: e % k = 0), [n]))) END, ',') AS epochs FROM (SELECT k, n FROM range(0, 6) a(k), range(1, 8) b(n)) WHERE n % greatest(k, 1) <> 0 OR k IN (0, 1) OR n = k")
+@query("SELECT CAST(k AS INTEGER) AS k, CAST(n AS INTEGER) AS n, array_to_string(CASE WHEN k = 0 THEN [n] ELSE list_sort(list_distinct(list_concat(list_filter(range(1, n + 1), lambda e: e % k = 0), [n]))) END, ',') AS epochs FROM (SELECT k, n FROM range(0, 9) a(k), range(1, 13) b(n))")
 def test_epochs(spark, sf_dir):
-    g = spark.range(0, 6).select(F.col("id").cast("int").alias("k")).crossJoin(spark.range(1, 8).select(F.col("id").cast("int").alias("n")))
-    g = g.where("n % greatest(k, 1) <> 0 OR k IN (0, 1) OR n = k")
+    g = spark.range(0, 9).select(F.col("id").cast("int").alias("k")).crossJoin(spark.range(1, 13).select(F.col("id").cast("int").alias("n")))
     return g.select("k", "n", F.array_join(P.test_epochs(F.col("k"), F.col("n")), ",").alias("epochs"))
 
 
@@ -447,18 +512,21 @@ def chat_prompt(spark, sf_dir):
     return c.select("conv_id", "turn", F.md5(T.chatml(F.col("context"))).alias("prompt"))
 
 
-@query(f"WITH {QV} SELECT row_id, CASE WHEN type <> '' THEN '问题类型：' || type || chr(10) || '问题：' || question ELSE question END AS prompt, answer || '<|im_end|>' || '</s>' AS response FROM qv")
+_PROMPT = "'<|im_start|>user' || chr(10) || CASE WHEN type <> '' THEN '问题类型：' || type || chr(10) || '问题：' || question ELSE question END || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"
+
+
+@query(f"WITH {QV} SELECT row_id, {_PROMPT} AS prompt, answer || '<|im_end|>' || '</s>' AS response FROM qv")
 def sft_prompt(spark, sf_dir):
-    return valid(spark, sf_dir).select("row_id", T.prompt(F.col("question"), F.col("type")).alias("prompt"), T.response(F.col("answer"), eos="</s>").alias("response"))
+    return valid(spark, sf_dir).select("row_id", T.training_prompt(F.col("question"), F.col("type")).alias("prompt"), T.response(F.col("answer"), eos="</s>").alias("response"))
 
 
 def _sft(spark, sf_dir):
-    rows = valid(spark, sf_dir).select("row_id", T.prompt(F.col("question"), F.col("type")).alias("p"), T.response(F.col("answer")).alias("r"))
+    rows = valid(spark, sf_dir).select("row_id", T.training_prompt(F.col("question"), F.col("type")).alias("p"), T.response(F.col("answer")).alias("r"))
     return M.masked_rows(rows, M.token_codes(F.col("p")), M.token_codes(F.col("r")), 300)
 
 
 _CODES = "list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: unicode(c))"
-_SFT = f"""{QV}, t AS (SELECT row_id, list_slice({_CODES.format(x="CASE WHEN type <> '' THEN '问题类型：' || type || chr(10) || '问题：' || question ELSE question END")}, 1, 300) AS p, {_CODES.format(x="(answer || '<|im_end|>')")} AS r FROM qv),
+_SFT = f"""{QV}, t AS (SELECT row_id, list_slice({_CODES.format(x="(" + _PROMPT + ")")}, 1, 300) AS p, {_CODES.format(x="(answer || '<|im_end|>')")} AS r FROM qv),
 u AS (SELECT row_id, p, CASE WHEN len(p) >= 300 THEN [] ELSE list_slice(r, 1, 300 - len(p)) END AS r FROM t), f AS (SELECT row_id, list_concat(p, r) AS ids, list_concat(list_transform(p, lambda x: -100), r) AS labels FROM u)"""
 
 
@@ -474,27 +542,89 @@ def pad_batch(spark, sf_dir):
     return rows.select("row_id", F.size("input_ids").alias("width"), F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).alias("ones"), F.size(F.filter("labels", lambda x: x == -100)).alias("ignored"))
 
 
-@query(f"WITH {QV} SELECT row_id, CAST(count(*) OVER w AS INTEGER) AS earlier, md5(coalesce(string_agg(question, chr(10)) OVER w, '')) AS hash FROM qv WHERE _file IS NOT NULL WINDOW w AS (PARTITION BY _file, type ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query(f"WITH {QV} SELECT row_id, CAST(count(*) OVER w AS INTEGER) AS earlier, md5(coalesce(string_agg(question, chr(10)) OVER w, '')) AS hash FROM qv WHERE _file IS NOT NULL WINDOW w AS (PARTITION BY _file, line_no // 300, type ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def prior_questions(spark, sf_dir):
-    rows = M.earlier_questions(valid(spark, sf_dir).where("_file IS NOT NULL"), ["_file", "type"], "line_no", "question")
+    """A section of a file, here 300 lines of it, and a type make one quota."""
+    rows = valid(spark, sf_dir).where("_file IS NOT NULL").withColumn("section", F.floor(F.col("line_no") / 300))
+    rows = M.earlier_questions(rows, ["_file", "section", "type"], "line_no", "question")
     return rows.select("row_id", F.size("earlier").alias("earlier"), F.md5(F.array_join("earlier", "\n")).alias("hash"))
 
 
 # --- runs, checkpoints, parameters (literal fixtures)
 
-_RUNS = ["0531144908_2B_R-4_DR-0.5_full_qkvo_DropoutTest", "20250531144908_0.8B_R-16_AL-r-sqrta_top-4_qv", "0601120000_4B_R-8_end-2_qkvo_Layer_Test", "notes", "2025-05-31_lora"]
+# Directory names in several forms, stated alike in both dialects.
+_DIR = """CASE p_partkey % 6
+WHEN 0 THEN lpad(CAST(p_partkey AS STRING), 10, '0') || '_' || CAST(p_size % 9 + 1 AS STRING) || 'B_R-' || CAST(p_size AS STRING) || '_DR-0.' || CAST(p_partkey % 9 + 1 AS STRING) || '_top-' || CAST(p_size % 6 + 1 AS STRING) || '_qv_Run' || CAST(p_partkey AS STRING)
+WHEN 1 THEN '2025' || lpad(CAST(p_partkey AS STRING), 10, '0') || '-0.' || CAST(p_size % 9 + 1 AS STRING) || 'B_R-' || CAST(p_size AS STRING) || '_AL-r-sqrta_full_qkvo'
+WHEN 2 THEN 'LoRA_' || p_brand || '_end-' || CAST(p_size % 5 + 1 AS STRING)
+WHEN 3 THEN lpad(CAST(p_partkey AS STRING), 10, '0') || '_4b_R-8_end-2_qkvo_Layer_Test'
+WHEN 4 THEN p_brand || '_rank=' || CAST(p_size AS STRING) || '_dropout=0.' || CAST(p_size % 9 AS STRING) || '_scaling=r_a_vq_layers=input-3'
+ELSE 'notes 2B ' || p_brand END"""
 
 
-@query("SELECT * FROM (VALUES ('0531144908_2B_R-4_DR-0.5_full_qkvo_DropoutTest','0531144908','2B',4,NULL,CAST(0.5 AS DOUBLE),'full','qkvo','DropoutTest'),('20250531144908_0.8B_R-16_AL-r-sqrta_top-4_qv','0531144908','0.8B',16,'r-sqrta',NULL,'top-4','qv',NULL),('0601120000_4B_R-8_end-2_qkvo_Layer_Test','0601120000','4B',8,NULL,NULL,'end-2','qkvo','Layer_Test'),('notes',NULL,NULL,NULL,NULL,NULL,NULL,NULL,NULL),('2025-05-31_lora',NULL,NULL,NULL,NULL,NULL,NULL,NULL,NULL)) t(dir,timestamp,size,rank,scaling,dropout,layers,modules,run_name)")
+def _run_dirs(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(_DIR).alias("dir"), "p_size", "p_brand")
+
+
+_RUNS = f"run AS (SELECT p_partkey AS id, {_DIR} AS dir, p_size, p_brand FROM part)"
+_STAMP = "CASE WHEN regexp_matches(dir, '^\\d{4}\\d{4}[_-]?\\d{6}([_-]|$)') THEN substr(regexp_replace(regexp_extract(dir, '^(\\d{8}[_-]?\\d{6})', 1), '[_-]', '', 'g'), 5) WHEN regexp_matches(dir, '^\\d{10}([_-]|$)') THEN substr(dir, 1, 10) END"
+_REST = "regexp_replace(dir, '^(\\d{8}[_-]?\\d{6}|\\d{10})([_-]+|$)', '')"
+_SIZE = "upper(nullif(regexp_extract(replace({x}, '_', ' '), '(^|[^A-Za-z0-9.])(\\d+(\\.\\d+)?[Bb])($|[^A-Za-z0-9])', 2), ''))"
+
+
+@query(f"WITH {_RUNS}, r AS (SELECT id, dir, {_STAMP} AS timestamp, {_REST} AS rest FROM run) SELECT id, timestamp, {_SIZE.format(x='rest')} AS size, CAST(nullif(regexp_extract(rest, '(^|_)R-(\\d+)', 2), '') AS INTEGER) AS rank, nullif(regexp_extract(rest, '(^|_)AL-([^_]+)', 2), '') AS scaling, CAST(nullif(regexp_extract(rest, '(^|_)DR-([0-9.]+)', 2), '') AS DOUBLE) AS dropout, nullif(regexp_extract(rest, '(^|_)(full|top-\\d+|end-\\d+)(_|$)', 2), '') AS layers, nullif(regexp_extract(rest, '(full|top-\\d+|end-\\d+)_([^_]+)', 2), '') AS modules, nullif(regexp_extract(rest, '(full|top-\\d+|end-\\d+)_[^_]+_(.+)$', 2), '') AS run_name FROM r")
 def run_name_parse(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in _RUNS], "dir string").select("dir", N.parsed_run(F.col("dir")).alias("x")).select("dir", "x.*")
+    return _run_dirs(spark, sf_dir).select("id", N.parsed_run(F.col("dir")).alias("x")).select("id", "x.*")
+
 
+def _settings(spark, sf_dir):
+    """Run settings from parts: model, rank, scaling, dropout, side, count, modules."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    lists = [["self_attn.q_proj", "k_proj", "v_proj", "o_proj"], ["q_proj", "v_proj"], ["mlp.gate", "mlp.up proj", "x.gate"]]
+    modules = F.when(k % 3 == 0, F.array(*map(F.lit, lists[0]))).when(k % 3 == 1, F.array(*map(F.lit, lists[1]))).otherwise(F.array(*map(F.lit, lists[2])))
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"), F.concat(F.lit("org/Model-"), (n % 9).cast("string"), F.lit(".5b")).alias("model"), n.cast("double").alias("rank"), F.when(k % 4 == 0, "r_sqrta").when(k % 4 == 1, " R/A ").alias("scaling"),
+        (k % 8 / 16).cast("double").alias("dropout"), F.element_at(F.array(*[F.lit(x) for x in ("all", "input", "last", "", "Top")]), (k % 5 + 1).cast("int")).alias("side"), (n % 6 + 1).cast("int").alias("count"), modules.alias("modules"), "p_brand",
+    )
 
-@query("SELECT * FROM (VALUES (1,'2B_R-4_DR-0.5_full_qkvo'),(2,'0.8B_R-16_AL-r-sqrta_top-4_qv'),(3,'4B_R-8_end-2_gate')) t(id,core)")
+
+def _core():
+    return N.core_name(N.model_size(F.col("model")), F.col("rank"), F.col("scaling"), F.col("dropout"), N.layer_selection(F.col("side"), F.col("count")), N.module_code(F.col("modules")))
+
+
+_CORE = """core AS (SELECT p_partkey AS id, p_brand, (p_size % 9) || '.5B_R-' || p_size || CASE WHEN p_partkey % 4 = 0 THEN '_AL-r-sqrta' ELSE '' END || CASE WHEN p_partkey % 8 = 0 THEN '' ELSE '_DR-' || format('{:g}', p_partkey % 8 / 16.0) END
+|| CASE p_partkey % 5 WHEN 1 THEN '_top-' || (p_size % 6 + 1) WHEN 2 THEN '_end-' || (p_size % 6 + 1) WHEN 4 THEN '_top-' || (p_size % 6 + 1) ELSE '_full' END || CASE p_partkey % 3 WHEN 0 THEN '_qkvo' WHEN 1 THEN '_qv' ELSE '_gate-up-proj' END AS core FROM part)"""
+
+
+@query(f"WITH {_CORE} SELECT id, core FROM core")
 def run_name_build(spark, sf_dir):
-    rows = [(1, "org/Model-2b", 4.0, "r/a", 0.5, "all", 0, ["self_attn.q_proj", "k_proj", "v_proj", "o_proj"]), (2, "X-0.8B", 16.0, "r_sqrta", 0.0, "input", 4, ["q_proj", "v_proj"]), (3, "m 4B", 8.0, None, 0.0, "last", 2, ["mlp.gate"])]
-    df = spark.createDataFrame(rows, "id int, model string, rank double, scaling string, dropout double, side string, count int, modules array<string>")
-    return df.select("id", N.core_name(N.model_size(F.col("model")), F.col("rank"), F.col("scaling"), F.col("dropout"), N.layer_selection(F.col("side"), F.col("count")), N.module_code(F.col("modules"))).alias("core"))
+    return _settings(spark, sf_dir).select("id", _core().alias("core"))
+
+
+@query(f"WITH {_CORE} SELECT id, lpad(CAST(id AS VARCHAR), 10, '0') || '_' || core || CASE WHEN id % 2 = 0 THEN '_' || regexp_replace(p_brand, '[#\\s]+', '-', 'g') ELSE '' END AS dir FROM core")
+def run_directory(spark, sf_dir):
+    stamp = F.concat(F.lit("2025-"), F.lpad(F.col("id").cast("string"), 10, "0"))
+    name = F.when(F.col("id") % 2 == 0, F.regexp_replace("p_brand", "#", " ")).otherwise(" ")
+    return _settings(spark, sf_dir).select("id", N.directory_name(stamp, _core(), name).alias("dir"))
+
+
+@query(f"WITH {_CORE}, d AS (SELECT id, core, CASE id % 4 WHEN 0 THEN lpad(CAST(id AS VARCHAR), 10, '0') || '_' || core || '_My_' || p_brand WHEN 1 THEN core WHEN 2 THEN 'LoRA_' || p_brand ELSE p_brand END AS dir, p_brand FROM core) SELECT id, CASE id % 4 WHEN 0 THEN 'My_' || p_brand WHEN 2 THEN p_brand END AS run_name, CASE WHEN id % 4 = 0 THEN lpad(CAST(id AS VARCHAR), 10, '0') ELSE '0102030405' END AS stamp FROM d")
+def run_name_infer(spark, sf_dir):
+    rows = _settings(spark, sf_dir).withColumn("core", _core())
+    name = F.when(F.col("id") % 4 == 0, F.concat_ws("_", F.lpad(F.col("id").cast("string"), 10, "0"), "core", F.lit("My"), "p_brand")).when(F.col("id") % 4 == 1, F.col("core")).when(F.col("id") % 4 == 2, F.concat(F.lit("LoRA_"), "p_brand")).otherwise(F.col("p_brand"))
+    at = F.lit("2025-01-02 03:04:05").cast("timestamp")
+    return rows.withColumn("dir", name).select("id", N.run_name(F.col("dir"), F.col("core")).alias("run_name"), N.run_timestamp(F.col("dir"), at).alias("stamp"))
+
+
+@query(f"""WITH {_RUNS}, g AS (SELECT id, dir, lower(dir) AS low, coalesce(nullif(regexp_extract(dir, '(?i)(^|[_-])R[-_=]?(\\d+)($|[_-])', 2), ''), nullif(regexp_extract(dir, '(?i)(^|[_-])(lora_)?r(ank)?[=-](\\d+)($|[_-])', 4), '')) AS rk, nullif(regexp_extract(lower(dir), '(^|_)([qkvo]{{1,4}})($|_)', 2), '') AS code FROM run),
+l AS (SELECT *, CASE WHEN regexp_matches(low, '(^|[_-])full($|[_-])') THEN 'full' ELSE coalesce(nullif(regexp_extract(low, '(^|[_-])(top[-_]?\\d+)($|[_-])', 2), ''), nullif(regexp_extract(low, '(^|[_-])(end[-_]?\\d+)($|[_-])', 2), ''), nullif(regexp_extract(low, 'layers[=_-](input[-_]?\\d+)($|[_-])', 1), '')) END AS lay FROM g)
+SELECT id, {_SIZE.format(x='dir')} AS model, CAST(rk AS INTEGER) AS rank, regexp_replace(nullif(regexp_extract(dir, 'scaling[=-](r[/_-]a|r[/_-]sqrta)', 1), ''), '[_-]', '/') AS scaling, CAST(nullif(regexp_extract(dir, 'dropout(_rate)?[=-]([0-9.eE+-]+)($|[_-])', 2), '') AS DOUBLE) AS dropout,
+CASE WHEN code IS NOT NULL THEN CASE WHEN contains(code, 'q') THEN 'q_proj ' ELSE '' END || CASE WHEN contains(code, 'k') THEN 'k_proj ' ELSE '' END || CASE WHEN contains(code, 'v') THEN 'v_proj ' ELSE '' END || CASE WHEN contains(code, 'o') THEN 'o_proj ' ELSE '' END END AS modules,
+CASE WHEN lay IS NULL OR lay = 'full' THEN 'all' WHEN lay LIKE 'end%' THEN 'output' ELSE 'input' END AS side, CASE WHEN lay IS NULL OR lay = 'full' THEN 0 ELSE CAST(regexp_extract(lay, '\\d+') AS INTEGER) END AS "count" FROM l""")
+def run_backfill(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    x = N.filled_from_name(F.col("dir"), {"model": none, "rank": none, "scaling": none, "dropout": none, "modules": F.lit(None).cast("array<string>"), "side": none, "count": none})
+    return _run_dirs(spark, sf_dir).select("id", x.alias("x")).select("id", "x.model", "x.rank", "x.scaling", "x.dropout", F.array_join(F.transform("x.modules", lambda m: F.concat(m, F.lit(" "))), "").alias("modules"), "x.side", "x.count")
 
 
 def _modules(spark):
@@ -514,16 +644,80 @@ def ckpt_key_match(spark, sf_dir):
     return R.matched_keys(spark.range(0, 8).select(key), spark.range(3, 12).select(key))
 
 
-@query("SELECT 'strip:module.|add:-' AS name, CAST(8 AS BIGINT) AS matched")
+# Tensor keys of a model and of a checkpoint whose prefixes are mixed, from the nations' numbers.
+_MKEY = "'model.layers.' || CAST(n_nationkey AS STRING) || CASE WHEN n_nationkey % 2 = 0 THEN '.self_attn.module.q_proj.weight' ELSE '.mlp.up.weight' END"
+_CKEY = """CASE n_nationkey % 4 WHEN 0 THEN 'module.model.layers.' WHEN 1 THEN 'model.language_model.layers.' WHEN 2 THEN 'base_model.model.model.layers.' ELSE 'x.layers.' END || CAST(n_nationkey + n_regionkey % 2 AS STRING) || CASE WHEN (n_nationkey + n_regionkey) % 2 = 0 THEN '.self_attn.q_proj.weight' ELSE '.mlp.up.weight' END"""
+_OPS = [(0, "identity", "", "", "")] + [x for i, p in enumerate(N.PREFIXES) for x in ((2 * i + 1, f"strip '{p}'", "cut", p, ""), (2 * i + 2, f"add '{p}'", "add", p, ""))] + [(9 + i, f"replace '{a}' with '{b}'", "cut", a, b) for i, (a, b) in enumerate(N.REPLACED)]
+_Q = lambda x: "'" + str(x).replace("'", "''") + "'"
+_WRAP = "CASE WHEN contains({k}, '.self_attn.') AND NOT contains({k}, '.self_attn.module.') AND NOT contains({k}, '.self_attn.adapter.') THEN regexp_replace({k}, '^(.*?)\\.self_attn\\.', '\\1.self_attn.module.') ELSE {k} END"
+_UNWRAP = "regexp_replace({k}, '^(.*?)\\.self_attn\\.module\\.', '\\1.self_attn.')"
+_KEYS = f"m AS (SELECT DISTINCT {_MKEY} AS key FROM nation), c AS (SELECT DISTINCT {_CKEY} AS key FROM nation)"
+_TAILS = f"""tv AS (SELECT q, 0 AS way, q AS v FROM t UNION ALL SELECT q, 1, {_WRAP.format(k="q")} FROM t UNION ALL SELECT q, 2, {_UNWRAP.format(k="q")} FROM t),
+ts AS (SELECT q, way, s, array_to_string(list_slice(string_split(v, '.'), s + 1, len(string_split(v, '.'))), '.') AS tail FROM tv, generate_series(0, len(string_split(v, '.')) - 1) g(s)),
+hit AS (SELECT q, way, s, min(m.key) AS mk FROM ts JOIN m ON (s = 0 AND m.key = tail) OR (s > 0 AND ends_with(m.key, tail)) GROUP BY q, way, s HAVING count(*) = 1), suf AS (SELECT q, arg_min(mk, way * 1000 + s) AS mk FROM hit GROUP BY q)"""
+_TRANSFORMED = f"""{_KEYS}, pf(i, name, kind, a, b) AS (VALUES {", ".join(f"({i}, {_Q(n)}, {_Q(k)}, {_Q(a)}, {_Q(b)})" for i, n, k, a, b in _OPS)}),
+b AS (SELECT c.key, i, name, CASE WHEN kind = 'add' THEN a || c.key WHEN kind = 'cut' AND starts_with(c.key, a) THEN pf.b || substr(c.key, length(a) + 1) ELSE c.key END AS k FROM c, pf), t AS (SELECT DISTINCT k AS q FROM b), {_TAILS},
+w AS (SELECT b.*, {_WRAP.format(k="k")} AS kw, {_UNWRAP.format(k="k")} AS ku, suf.mk FROM b LEFT JOIN suf ON q = k), mk AS (SELECT key AS k0 FROM m),
+x AS (SELECT key, i, name, unnest([{{'j': 0, 'way': 'identity', 'n': k}}, {{'j': 1, 'way': 'insert adapter module wrapper', 'n': kw}}, {{'j': 2, 'way': 'remove adapter module wrapper', 'n': ku}}, {{'j': 3, 'way': 'prefer existing adapter module wrapper', 'n': CASE WHEN k IN (SELECT k0 FROM mk) THEN k WHEN kw IN (SELECT k0 FROM mk) THEN kw WHEN ku IN (SELECT k0 FROM mk) THEN ku ELSE k END}}, {{'j': 4, 'way': 'unique suffix match', 'n': coalesce(mk, k)}}]) AS r FROM w),
+tf AS (SELECT CAST(i * 5 + r.j AS INTEGER) AS ord, CASE WHEN r.j = 0 THEN name WHEN i = 0 THEN r.way ELSE name || ' + ' || r.way END AS name, key, r.n AS new_key FROM x),
+sc AS (SELECT ord, name, count(*) FILTER (new_key IN (SELECT k0 FROM mk)) AS matched FROM tf GROUP BY ord, name)"""
+
+
+def _keys(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.expr(_MKEY).alias("key")), n.select(F.expr(_CKEY).alias("key"))
+
+
+@query(f"WITH {_TRANSFORMED} SELECT ord, name, matched FROM sc")
+def ckpt_transforms(spark, sf_dir):
+    return R.transforms(*_keys(spark, sf_dir))
+
+
+@query(f"WITH {_TRANSFORMED} SELECT name, matched FROM sc ORDER BY matched DESC, ord LIMIT 1")
 def ckpt_best_transform(spark, sf_dir):
-    model = spark.range(0, 8).select(F.concat(F.lit("layers."), F.col("id").cast("string"), F.lit(".w")).alias("key"))
-    return R.best_transform(model, model.select(F.concat(F.lit("module."), "key").alias("key")))
+    return R.best_transform(*_keys(spark, sf_dir))
 
 
-@query("SELECT 'x.layers.' || i || '.w' AS key, 'layers.' || i || '.w' AS model_key FROM range(0, 4) t(i)")
+@query(f"""WITH {_TRANSFORMED}, u AS (SELECT key, new_key FROM tf WHERE name = 'unique suffix match'), z AS (SELECT DISTINCT 'loaded' AS state, new_key AS key FROM u WHERE new_key IN (SELECT k0 FROM mk) UNION ALL SELECT 'missing', k0 FROM mk WHERE k0 NOT IN (SELECT new_key FROM u) UNION ALL SELECT 'unexpected', key FROM u WHERE new_key NOT IN (SELECT k0 FROM mk)),
+r AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY key) AS r FROM z) SELECT state, count(*) AS keys, string_agg(key, ', ' ORDER BY key) FILTER (r <= 5) AS examples FROM r GROUP BY state""")
+def ckpt_load_report(spark, sf_dir):
+    return R.load_report(*_keys(spark, sf_dir), "unique suffix match")
+
+
+@query(f"WITH {_KEYS}, t AS (SELECT key AS q FROM c), {_TAILS} SELECT q AS key, mk AS model_key FROM suf")
 def ckpt_suffix_match(spark, sf_dir):
-    name = lambda p: F.concat(F.lit(p), F.col("id").cast("string"), F.lit(".w"))
-    return R.suffix_matches(spark.range(0, 4).select(name("x.layers.").alias("key")), spark.range(0, 8).select(name("layers.").alias("key")))
+    model, keys = _keys(spark, sf_dir)
+    return R.suffix_matches(keys, model)
+
+
+@query("SELECT r_name AS folder, unnest(list_distinct(list('part-' || n_nationkey % 3 || '.bin'))) AS file FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def weight_files(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    pair = F.struct("n_name", F.concat(F.lit("part-"), (F.col("n_nationkey") % 3).cast("string"), F.lit(".bin")))
+    return R.weight_files(n.groupBy(F.col("r_name").alias("folder")).agg(F.map_from_entries(F.collect_list(pair)).alias("weight_map")))
+
+
+@query("SELECT n_nationkey AS id, CASE n_nationkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN n_regionkey % 2 = 0 ELSE false END AS adapter FROM nation")
+def adapter_checkpoints(spark, sf_dir):
+    k = F.col("n_nationkey") % 5
+    log = F.when(k == 0, F.lit("a: 1\n active_method: Adapter_Finetuning \n")).when(k == 1, F.lit("active_method: lora"))
+    folder = F.when(k == 2, F.lit("/runs/AdapterFinetuning/3")).when(k == 4, F.lit("/runs/prefix_1/lorem")).otherwise(F.concat(F.lit("/runs/"), "n_name"))
+    keys = F.when(k == 3, F.array(F.when(F.col("n_regionkey") % 2 == 0, "l.adapter.gate").otherwise("l.weight")))
+    return R.adapter_checkpoints(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), log.alias("log"), folder.alias("folder"), keys.alias("keys"))).select("id", "adapter")
+
+
+@query("SELECT n_nationkey AS id FROM nation WHERE n_regionkey IN (0, 1) AND n_nationkey % 3 <> 0")
+def incompatible_methods(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    method = F.element_at(F.array(*[F.lit(x) for x in (" Prefix_Tuning", "prefixft", "LoRA", "adapter", "other")]), F.col("n_regionkey").cast("int") + 1)
+    config = F.when(F.col("n_nationkey") % 3 == 1, F.lit('{"layer_types": ["full_attention", "linear_attention"]}')).when(F.col("n_nationkey") % 3 == 2, F.lit('{"text_config": {"layer_types": ["linear_attention"]}}')).otherwise(F.lit('{"layer_types": ["full_attention"]}'))
+    return R.incompatible(n.select(F.col("n_nationkey").alias("id"), method.alias("method"), config.alias("config"))).select("id")
+
+
+@query("SELECT n_nationkey AS id, CASE n_nationkey % 6 WHEN 0 THEN 'LoRA' WHEN 1 THEN 'PrefixFT' WHEN 2 THEN 'AdapterFinetuning' WHEN 3 THEN 'AdapterFinetuning' END AS exact, CASE n_nationkey % 6 WHEN 0 THEN 'LoRA' WHEN 1 THEN 'PrefixFT' WHEN 3 THEN 'AdapterFinetuning' WHEN 4 THEN 'LoRA' END AS mentioned FROM nation")
+def method_names(spark, sf_dir):
+    said = F.element_at(F.array(*[F.lit(x) for x in (" LoRA ", "prefixtuning", "Llama_Adapter", "adapter_finetuning", "my-lora-2", "none")]), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), N.method(said).alias("exact"), N.method_in(said).alias("mentioned"))
 
 
 _MET = "met AS (SELECT user_id AS run, event_id AS step, CAST(value AS DOUBLE) AS loss FROM events)"
@@ -565,12 +759,14 @@ def scalar_series(spark, sf_dir):
     return sinks.scalar_series(table(spark, sf_dir, "events").select("event_id", "value", "event_type"), "event_id", "train")
 
 
-@query("SELECT * FROM (VALUES ('global.model','x-2B'),('global.seed','7'),('LoRA.rank','16')) t(key_path, value)")
+@query("SELECT 'r' || n_regionkey || '.' || n_name AS key_path, CASE WHEN n_nationkey % 3 = 0 THEN CAST(n_nationkey * 10 AS VARCHAR) ELSE CAST(n_nationkey AS VARCHAR) END AS value FROM nation")
 def config_override(spark, sf_dir):
-    base = {"global": {"model": "x-2B", "seed": 42}, "LoRA": {"rank": 4}}
-    rows = spark.createDataFrame(config.flat(base), "key_path string, value string")
-    new = spark.createDataFrame([(k, str(v)) for k, v in config.overrides(["--global.seed=7", "--LoRA.rank=16"]).items()], "key_path string, value string")
-    return config.overridden(rows, new)
+    """Update-only: a change without a target adds no row."""
+    n = table(spark, sf_dir, "nation")
+    path = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("."), F.col("n_name"))
+    new = n.where("n_nationkey % 3 = 0").select(path.alias("key_path"), (F.col("n_nationkey") * 10).cast("string").alias("value"))
+    new = new.unionByName(n.select(F.concat(F.lit("none."), "n_name").alias("key_path"), F.lit("x").alias("value")))
+    return config.overridden(n.select(path.alias("key_path"), F.col("n_nationkey").cast("string").alias("value")), new)
 
 
 @query("SELECT CAST(r AS VARCHAR) AS rank, d AS dropout, '--rank=' || r || ' --dropout=' || d AS command FROM (VALUES (4),(8),(16)) a(r), (VALUES ('0.0'),('0.5')) b(d)")
@@ -588,10 +784,10 @@ def rename_plan(spark, sf_dir):
     return R.rename_plan(table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.col("doc_id").alias("old"), F.col("source").alias("target")))
 
 
-@query("SELECT * FROM (VALUES ('0531144908_2B_R-4_full_qkvo', true), ('my_LoRA_run', true), ('2B_notes', false), ('plain', false)) t(dir, lora)")
+@query(f"WITH {_RUNS} SELECT id, contains(lower(dir), 'lora') OR ({_SIZE.format(x='dir')} IS NOT NULL AND regexp_matches(dir, '(^|_)R-\\d+')) OR id % 7 = 0 AS lora FROM run")
 def lora_runs(spark, sf_dir):
-    dirs = spark.createDataFrame([("0531144908_2B_R-4_full_qkvo",), ("my_LoRA_run",), ("2B_notes",), ("plain",)], "dir string")
-    return dirs.select("dir", N.is_lora_run(F.col("dir")).alias("lora"))
+    log = F.when(F.col("id") % 7 == 0, F.lit("x: 1\nActive_Method: LoRA"))
+    return _run_dirs(spark, sf_dir).select("id", N.is_lora_run(F.col("dir"), log).alias("lora"))
 
 
 @query("SELECT user_id, arg_max(path, struct_pack(a := n, b := path)) AS path FROM (SELECT user_id, event_id AS n, 'run/checkpoint-' || event_id AS path FROM events) GROUP BY user_id")
@@ -626,9 +822,13 @@ def ordered_distinct(spark, sf_dir):
     return d.groupBy("source").agg(F.md5(F.array_join(langs, ",")).alias("langs"))
 
 
-@query("SELECT * FROM (VALUES (1,'2.5'),(2,'3'),(3,'0')) t(id, shown)")
+_G = "CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE format('{{:g}}', {x}) END"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_G.format(x='sqrt(l_extendedprice)')} AS root, {_G.format(x='(sqrt(l_extendedprice) / 1000000000.0)')} AS small, {_G.format(x='(sqrt(l_extendedprice) * 100000.0)')} AS large, CAST(l_orderkey AS VARCHAR) AS whole FROM lineitem")
 def number_format(spark, sf_dir):
-    return spark.createDataFrame([(1, 2.5), (2, 3.0), (3, 0.0)], "id int, x double").select("id", N.number(F.col("x")).alias("shown"))
+    x = F.sqrt(F.col("l_extendedprice").cast("double"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.number(x).alias("root"), N.number(x / 1e9).alias("small"), N.number(x * 1e5).alias("large"), N.number(F.col("l_orderkey")).alias("whole"))
 
 
 @query("SELECT user_id, CAST(approx AS BIGINT) AS windows FROM (SELECT user_id, count(DISTINCT epoch(ts)::BIGINT // 3600) AS approx FROM events GROUP BY user_id)")
@@ -657,7 +857,9 @@ def seam_tokenizer(spark, sf_dir):
     return valid(spark, sf_dir).select("row_id", F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")).alias("ids"))
 
 
-@query()
+@query(f"""WITH {QV}, p AS (SELECT row_id, string_split(trim(regexp_replace(regexp_replace(question, '[^\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS ws FROM qv),
+c AS (SELECT row_id, flatten(list_transform(ws, lambda w: CASE WHEN regexp_full_match(w, '[\\x{{4e00}}-\\x{{9fff}}]+') THEN list_transform(range(1, greatest(length(w), 2)), lambda i: substr(w, i, 2)) ELSE [w] END)) AS ws FROM p)
+SELECT row_id, array_to_string(list_filter(ws, lambda w: length(w) > 1 AND NOT list_contains([{_STOPS}], w)), ' ') AS words FROM c""")
 def seam_segmenter(spark, sf_dir):
     words = X.apply(X.ngram_segmenter(), "array<string>")(T.squeeze(T.kept_letters(F.col("question"))))
     return valid(spark, sf_dir).select("row_id", F.array_join(T.without_stops(words), " ").alias("words"))
@@ -675,6 +877,73 @@ def seam_generation(spark, sf_dir):
     return X.in_sequence(asked, ["doc_id", "section_no", "type"], "n", X.echo_generator("问："))
 
 
+def _messages_sql(*turns: tuple[str, str]) -> str:
+    """Messages as ChatML with the assistant's turn begun."""
+    return " || chr(10) || ".join(f"'<|im_start|>{role}' || chr(10) || {text} || '<|im_end|>'" for role, text in turns) + " || chr(10) || '<|im_start|>assistant' || chr(10)"
+
+
+def _filled_sql(template: str, **values: str) -> str:
+    out = _Q(template)
+    for k, v in values.items():
+        out = out.replace("{" + k + "}", f"' || {v} || '")
+    return out
+
+
+_SCORING = _messages_sql(("system", _Q(Q.SCORE_SYSTEM)), ("user", _filled_sql(Q.SCORE_USER, question="question", answer="answer")))
+
+
+@query(f"WITH {QV} SELECT row_id, md5({_SCORING}) AS prompt FROM qv")
+def scoring_prompt(spark, sf_dir):
+    return valid(spark, sf_dir).select("row_id", F.md5(T.chatml(Q.scoring(F.col("question"), F.col("answer")))).alias("prompt"))
+
+
+@query(f"WITH {QV} SELECT row_id, least(5, least(length({_SCORING}), 4096) // 80) AS score FROM qv")
+def seam_scoring_chat(spark, sf_dir):
+    """Scores of whole scoring prompts by a model that sees 4,096 units of each, in batches with retries."""
+    fn = X.apply(X.truncated(X.rule_scorer(), 4096), "string", tries=3)
+    rows = X.answered(valid(spark, sf_dir), Q.scoring(F.col("question"), F.col("answer")), fn, "reply")
+    return rows.select("row_id", T.extract_score(F.col("reply")).cast("long").alias("score"))
+
+
+_ASKED = (("system", _Q(Q.WRITE_SYSTEM)), ("system", _filled_sql(Q.KIND_SYSTEM, kind="lang")), ("system", _filled_sql(Q.TEXT_SYSTEM, text="text")), ("system", _filled_sql(Q.EARLIER_SYSTEM, earlier="source")), ("user", _Q(Q.ASK_QUESTION)))
+
+
+@query(f"SELECT doc_id, md5({_messages_sql(*_ASKED)}) AS asked, md5({_messages_sql(*_ASKED, ('assistant', 'file_name'), ('user', _Q(Q.ASK_ANSWER)))}) AS answered FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND file_name IS NOT NULL")
+def generation_prompt(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND file_name IS NOT NULL")
+    asked = Q.asking(F.col("lang"), F.col("text"), F.col("source"))
+    return d.select("doc_id", F.md5(T.chatml(asked)).alias("asked"), F.md5(T.chatml(Q.answering(asked, F.col("file_name")))).alias("answered"))
+
+
+_VARIED = (("system", _Q(Q.VARY_SYSTEM)), ("system", _filled_sql(Q.KIND_SYSTEM, kind="type")), ("system", _filled_sql(Q.PAIR_SYSTEM, question="question", answer="answer")), ("user", _Q(Q.ASK_QUESTION)), ("user", "CAST(c AS VARCHAR)"))
+
+
+@query(f"""WITH {QV}, n AS (SELECT qv.*, c FROM qv, range(1, 3) t(c)), a AS (SELECT *, '问：' || substr(md5({_messages_sql(*_VARIED)}), 1, 8) AS nq FROM n)
+SELECT row_id, CAST(0 AS INTEGER) AS copy_no, type, md5(question) AS q, md5(answer) AS a FROM qv UNION ALL SELECT row_id, CAST(c AS INTEGER), type, md5(nq), md5('答：' || substr(md5({_messages_sql(*_VARIED, ('assistant', 'nq'), ('user', _Q(Q.ASK_ANSWER)))}), 1, 8)) FROM a""")
+def seam_augmentation(spark, sf_dir):
+    rows = valid(spark, sf_dir).select("row_id", "type", "question", "answer")
+    out = X.augmented_pairs(rows, 3, X.apply(X.echo_generator("问："), "string"), X.apply(X.echo_generator("答："), "string"))
+    return out.select("row_id", "copy_no", "type", F.md5("question").alias("q"), F.md5("answer").alias("a"))
+
+
+@query(f"WITH {MSG} SELECT m.conv_id, m.turn, '续：' || substr(md5(string_agg('<|im_start|>' || s.role || chr(10) || coalesce(s.content, '') || '<|im_end|>', chr(10) ORDER BY s.turn) FILTER (s.role <> 'other') || chr(10) || '<|im_start|>assistant' || chr(10)), 1, 8) AS reply FROM msg m JOIN msg s ON s.conv_id = m.conv_id AND s.turn <= m.turn WHERE m.role = 'user' GROUP BY m.conv_id, m.turn")
+def seam_chat(spark, sf_dir):
+    """The next turn of every conversation, each with its whole history."""
+    c = M.chat_contexts(messages(spark, sf_dir))
+    return X.answered(c, F.col("context"), X.apply(X.echo_generator("续："), "string"), "reply").select("conv_id", "turn", "reply")
+
+
+@query("SELECT event_id, round(CAST(value AS DOUBLE) / 7, 6) AS loss, CAST(event_id AS DOUBLE) AS step FROM events WHERE value IS NOT NULL")
+def rounded_metrics(spark, sf_dir):
+    m = T.rounded_metrics(F.create_map(F.lit("loss"), F.col("value").cast("double") / 7, F.lit("step"), F.col("event_id").cast("double")))
+    return table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", m.alias("m")).select("event_id", F.col("m.loss").alias("loss"), F.col("m.step").alias("step"))
+
+
+@query(f"WITH {_BS}, d AS (SELECT coalesce(score, 0) AS score, count(*) AS n FROM b GROUP BY 1), p AS (SELECT score, n, n / sum(n) OVER () * 100 AS p FROM d) SELECT rpad(CAST(score AS VARCHAR), 12, ' ') || '  ' || lpad(CAST(n AS VARCHAR), 10, ' ') || '  ' || printf('%6.2f%%', p) || '  ' || repeat('█', CAST(floor(p / 2) AS BIGINT)) AS line FROM p")
+def score_bars(spark, sf_dir):
+    return sinks.bars(C.score_table(_best_scores(spark, sf_dir)), "score", "n", "percentage")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat turns paired, validated, cut to length, exact copies removed, counted by the first turn."""
     pairs = M.adjacent_pairs(messages(spark, sf_dir)).withColumn("type", F.lit("chat"))

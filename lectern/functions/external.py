@@ -19,19 +19,19 @@ Batch = Callable[[list[str]], list]
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[], Batch]:
-    """Unit vectors of hashed character bigrams; empty text gives a zero vector."""
+    """Unit vectors of signed character counts; empty text gives a zero vector.
+
+    A character of code point c adds to place c // 2 modulo ``dim``, or takes away where c is odd.
+    """
 
     def load() -> Batch:
         def embed(texts: list[str]) -> list[list[float]]:
-            out = []
-            for t in texts:
-                v = np.zeros(dim)
-                for i in range(len(t) - 1):
-                    h = hashlib.md5(t[i : i + 2].encode()).digest()
-                    v[h[0] % dim] += 1 if h[1] & 1 else -1
-                n = float(np.linalg.norm(v))
-                out.append((v / n if n > 1e-10 else v).tolist())
-            return out
+            data = "".join(texts).encode("utf-32-le", "surrogatepass")
+            c = np.frombuffer(data, np.uint32).astype(np.int64)
+            row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            v = np.bincount(row * dim + (c >> 1) % dim, weights=1.0 - 2 * (c & 1), minlength=len(texts) * dim).reshape(len(texts), dim)
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            return (v / np.where(n > 1e-10, n, 1)).tolist()
 
         return embed
 
@@ -121,3 +121,37 @@ def in_sequence(df: DataFrame, keys: list[str], n: str, load: Callable[[], Batch
                 yield pd.DataFrame(rows, columns=[*keys, "no", out])
 
     return df.select(*keys, n, "prompt").mapInPandas(run, schema)
+
+
+def truncated(load: Callable[[], Batch], longest: int) -> Callable[[], Batch]:
+    """A seam that sees no more than ``longest`` characters of each text, as a model with a token limit would."""
+
+    def begin() -> Batch:
+        fn = load()
+        return lambda texts: fn([t[:longest] for t in texts])
+
+    return begin
+
+
+def answered(df: DataFrame, messages: Column, fn: Callable[[Column], Column], out: str) -> DataFrame:
+    """Adds the completion of a row's chat messages, rendered as ChatML."""
+    from .text import chatml
+
+    return df.withColumn(out, fn(chatml(messages)))
+
+
+def augmented_pairs(df: DataFrame, copies: int, ask: Callable[[Column], Column], answer: Callable[[Column], Column]) -> DataFrame:
+    """(all columns, copy_no): each pair and ``copies`` - 1 rewordings of its type, the original first.
+
+    A copy's question is generated first, then its answer with that question before it. The number of the copy stands at the
+    end of the prompt, so that deterministic generators tell copies apart.
+    """
+    from . import prompts as P
+
+    rows = df.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    before = P.varying(F.col("type"), F.col("question"), F.col("answer"))
+    own = F.concat(before, P.messages(("user", F.col("copy_no").cast("string"))))
+    made = answered(rows.where("copy_no > 0").withColumn("__m", own), F.col("__m"), ask, "__q")
+    made = answered(made, P.answering(F.col("__m"), F.col("__q")), answer, "__a")
+    made = made.withColumns({"question": F.col("__q"), "answer": F.col("__a")}).drop("__m", "__q", "__a")
+    return rows.where("copy_no = 0").unionByName(made)

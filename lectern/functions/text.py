@@ -112,19 +112,25 @@ def fixed8(c: Column) -> Column:
 
 
 def prompt(question: Column, kind: Column) -> Column:
-    """The training prompt: with a type line where the type is not empty."""
+    """The content of a training question: with a type line where the type is not empty."""
+    # The two labels.
     q = strip(question)
     return F.when(F.coalesce(kind, F.lit("")) != "", F.concat(F.lit("问题类型："), strip(kind), F.lit("\n问题："), q)).otherwise(q)
 
 
+def training_prompt(question: Column, kind: Column) -> Column:
+    """The training prompt as a user turn that an assistant turn follows; without a chat template no system text is rendered."""
+    return chatml(F.array(F.struct(F.lit("user").alias("role"), prompt(question, kind).alias("content"))), last_only=True)
+
+
 def response(answer: Column, end: str = "<|im_end|>", eos: str = "") -> Column:
     r = F.concat(strip(answer), F.lit(end))
     return r if not eos else F.when(F.endswith(r, F.lit(eos)), r).otherwise(F.concat(r, F.lit(eos)))
 
 
 def chatml(messages: Column, *, last_only: bool = False, generate: bool = True) -> Column:
-    """Messages (array of role and content) in ChatML; ``last_only`` renders the last message alone."""
-    use = F.slice(messages, -1, 1) if last_only else messages
+    """Messages (array of role and content) in ChatML, other roles than the three left out; ``last_only`` renders the last message alone."""
+    use = F.slice(messages, -1, 1) if last_only else F.filter(messages, lambda m: m["role"].isin("system", "user", "assistant"))
     body = F.array_join(F.transform(use, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>"))), "\n")
     return F.concat(body, F.lit("\n<|im_start|>assistant\n")) if generate else body
 
@@ -146,6 +152,11 @@ def overfit_indicator(test: Column, train: Column) -> Column:
     return F.log10(test / F.nullif(train, F.lit(0.0)))
 
 
+def rounded_metrics(metrics: Column) -> Column:
+    """A map of metrics with values to six decimal places."""
+    return F.transform_values(metrics, lambda _, v: F.round(v, 6))
+
+
 def completed_epoch(epoch: Column) -> Column:
     """The nearest whole epoch, ties to even; null stays null."""
     return F.bround(epoch).cast("int")

@@ -107,20 +107,28 @@ def length_histogram(df: DataFrame, length: str, by: str | None, *, width: int =
     given. ``overlap`` keeps the last regular bin whole where the cap falls inside it, counting its rows in the tail too.
     """
     key = F.col(by) if by else F.lit(ALL)
-    # rows are counted once per group and length; all else works on those few counts
+    # rows are counted once per group and length; all else works on those counts, of which there are no more than lengths times groups
     rows = df.select(key.alias("g"), F.col(length).alias("v")).where("v IS NOT NULL").groupBy("g", "v").agg(F.count("*").alias("n"))
-    top = rows.agg(F.least(F.max("v"), F.lit(width * bins)).alias("cap")) if cap is None else df.sparkSession.createDataFrame([(cap,)], "cap int")
-    edge = F.col("v") if overlap else F.least(F.col("v"), F.col("cap"))
-    marked = rows.crossJoin(top)  # a single row
-    regular = marked.where((F.col("v") < F.col("cap")) if not overlap else (F.col("v") < F.ceil(F.col("cap") / width) * width)).groupBy("g", F.floor(edge / width).cast("int").alias("bin_no")).agg(F.sum("n").alias("n"))
-    tail = marked.where("v >= cap").groupBy("g").agg(F.sum("n").alias("n")).select("g", F.lit(-1).alias("bin_no"), "n")
-    total = rows.groupBy("g").agg(F.sum("n").alias("total"))
-    numbers = F.when(F.col("cap") > 0, F.sequence(F.lit(0), F.ceil(F.col("cap") / width).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    grid = total.crossJoin(top).select("g", "total", "cap", F.explode(numbers).alias("bin_no"))
-    body = grid.join(regular, ["g", "bin_no"], "left").select("g", "bin_no", F.concat((F.col("bin_no") * width).cast("string"), F.lit(" ~ "), (F.col("bin_no") * width + width).cast("string")).alias("interval"), F.coalesce("n", F.lit(0).cast("long")).alias("count"), "total")
-    last = tail.join(total, "g").crossJoin(top).select("g", F.ceil(F.col("cap") / width).cast("int").alias("bin_no"), F.concat(F.lit(">= "), F.col("cap").cast("string")).alias("interval"), F.col("n").alias("count"), "total")
-    out = body.unionByName(last)
-    return out.select(F.col("g").alias(by or "type"), "bin_no", "interval", "count", T.percent(F.col("count"), F.col("total")).alias("percentage"))
+    rows = rows.withColumn("cap", F.least(F.max("v").over(W.partitionBy()), F.lit(width * bins)) if cap is None else F.lit(cap))
+    last = F.ceil(F.col("cap") / width).cast("int")
+    inside = F.col("v") < (last * width if overlap else F.col("cap"))
+    places = F.array_compact(F.array(F.when(inside, F.floor(F.col("v") / width).cast("int")), F.when(F.col("v") >= F.col("cap"), last)))
+    # a row of the overlapping last bin also stands in the tail, and is told by the tail's own mark
+    marked = rows.select("g", "cap", "v", "n", F.explode(places).alias("bin_no"))
+    per = marked.groupBy("g", "cap", "bin_no").agg(F.sum("n").alias("n"))
+    total = F.coalesce(F.sum(F.when(F.col("bin_no") < last, F.col("n"))), F.lit(0)) + F.coalesce(F.sum(F.when(F.col("bin_no") == last, F.col("n"))), F.lit(0))
+    if overlap:  # rows between cap and the last bin's end stand twice
+        double = rows.groupBy("g").agg(F.sum(F.when(inside & (F.col("v") >= F.col("cap")), F.col("n")).otherwise(0)).alias("__twice"))
+        per = per.join(double, "g")
+        total = total - F.max("__twice")
+    whole = per.groupBy("g", "cap").agg(F.map_from_entries(F.collect_list(F.struct("bin_no", "n"))).alias("m"), total.alias("total"))
+    tail = F.element_at("m", last)
+    numbers = F.when(F.col("cap") > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+    numbers = F.when(tail.isNotNull(), F.concat(numbers, F.array(last))).otherwise(numbers)
+    each = whole.select("g", "cap", "m", "total", F.explode(numbers).alias("bin_no"))
+    n = F.coalesce(F.element_at("m", F.col("bin_no")), F.lit(0).cast("long"))
+    label = F.when(F.col("bin_no") < last, F.concat((F.col("bin_no") * width).cast("string"), F.lit(" ~ "), (F.col("bin_no") * width + width).cast("string"))).otherwise(F.concat(F.lit(">= "), F.col("cap").cast("string")))
+    return each.select(F.col("g").alias(by or "type"), "bin_no", label.alias("interval"), n.alias("count"), T.percent(n, F.col("total")).alias("percentage"))
 
 
 def wide(hist: DataFrame, by: str, values: list[str]) -> DataFrame:
@@ -128,9 +136,9 @@ def wide(hist: DataFrame, by: str, values: list[str]) -> DataFrame:
     return hist.groupBy("bin_no", "interval").pivot(by, values).agg(F.round(F.first("percentage"), 2))
 
 
-def largest_lengths(df: DataFrame) -> DataFrame:
-    """Largest question, answer and pair length per type and over all, in one rollup."""
-    q, a = F.length("question"), F.length("answer")
+def largest_lengths(df: DataFrame, question: str, answer: str) -> DataFrame:
+    """Largest question, answer and pair length per type and over all, in one rollup; the columns hold lengths."""
+    q, a = F.col(question), F.col(answer)
     g = df.select("type", q.alias("q"), a.alias("a"), F.greatest(q, a).alias("p")).rollup("type")
     out = g.agg(F.max("q").alias("max_q"), F.max("a").alias("max_a"), F.max("p").alias("max_pair"), F.grouping_id().alias("__g"))
     return out.select(F.when(F.col("__g") == 1, ALL).otherwise(F.col("type")).alias("type"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("max_q", "max_a", "max_pair")])
@@ -160,14 +168,20 @@ def summary(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     return got.select(*([by] if by else []), "n", F.coalesce("mean", zero).alias("mean"), F.coalesce("std", zero).alias("std"), F.coalesce(F.col("min").cast("double"), zero).alias("min"), *[F.coalesce(F.col("__q")[i], zero).alias(c) for i, c in enumerate(("p25", "median", "p75"))], F.coalesce(F.col("max").cast("double"), zero).alias("max"))
 
 
-def funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """(stage_no, stage, n, retention, overall): rows left after each stage."""
-    out = None
-    for i, (name, df) in enumerate(stages):
-        one = df.agg(F.count("*").alias("n")).select(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), "n")
-        out = one if out is None else out.unionByName(one)
-    w = W.partitionBy().orderBy("stage_no")
-    return out.select("stage_no", "stage", "n", T.percent(F.col("n"), F.coalesce(F.lag("n").over(w), F.col("n"))).alias("retention"), T.percent(F.col("n"), F.first("n").over(w)).alias("overall"))
+def funnel(df: DataFrame, stages: list[tuple[str, Column]], *, distinct: tuple[str, Column] | None = None) -> DataFrame:
+    """(stage_no, stage, n, retention, overall): rows left after each stage, in one pass.
+
+    A stage is a condition that holds for the rows left after it; ``distinct`` names a last stage that counts the different
+    values of a column among the rows left before.
+    """
+    counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, (_, c) in enumerate(stages)]
+    names = [name for name, _ in stages]
+    if distinct:
+        counts.append(F.count_distinct(F.when(stages[-1][1], distinct[1])).alias(f"c{len(stages)}"))
+        names.append(distinct[0])
+    rows = F.array(*[F.struct(F.lit(i).alias("stage_no"), F.lit(x).alias("stage"), F.col(f"c{i}").alias("n"), F.col(f"c{max(0, i - 1)}").alias("p"), F.col("c0").alias("f")) for i, x in enumerate(names)])
+    out = df.agg(*counts).select(F.explode(rows).alias("x"))
+    return out.select("x.stage_no", "x.stage", "x.n", T.percent(F.col("x.n"), F.col("x.p")).alias("retention"), T.percent(F.col("x.n"), F.col("x.f")).alias("overall"))
 
 
 def stage_counts(df: DataFrame, kept: Column) -> DataFrame:

@@ -15,25 +15,103 @@ def matched_keys(model: DataFrame, checkpoint: DataFrame) -> DataFrame:
     return m.join(c, "key", "full").select("key", F.when(F.col("__m") & F.col("__c"), "loaded").when(F.col("__m"), "missing").otherwise("unexpected").alias("state"))
 
 
+def suffix_matches(keys: DataFrame, model: DataFrame) -> DataFrame:
+    """(key, model_key): for each key the model key it is, else the only one that ends in one of its dotted tails, longest first.
+
+    A tail begins behind a dot of the key, and may begin anywhere in the model key. The key itself is tried first, then with
+    the adapter's wrapper, then without. Model keys list all their endings, so this is an equi-join; a model has some
+    thousand keys of bounded length.
+    """
+    k = F.col("key")
+    ways = F.explode(F.array(*[F.struct(F.lit(i).alias("way"), x.alias("k")) for i, x in enumerate((k, N.wrapped(k), N.unwrapped(k)))]))
+    tried = keys.select("key").distinct().select("key", ways.alias("w")).select("key", "w.way", "w.k", F.split("w.k", r"\.").alias("p"))
+    tails = tried.select("key", "way", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.array_join(F.slice("p", n, F.size("p")), "."))).alias("start", "tail"))
+    whole = model.select(F.col("key").alias("model_key")).distinct()
+    size = F.length("model_key")
+    ends = whole.select("model_key", F.explode(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(F.col("model_key"), i, size))).alias("tail"))
+    only = ends.groupBy("tail").agg(F.count("*").alias("n"), F.min("model_key").alias("model_key")).where("n = 1")
+    hits = tails.where("start > 0").join(only, "tail").select("key", "way", "start", "model_key")
+    same = tails.where("start = 0").join(whole, F.col("tail") == F.col("model_key")).select("key", "way", "start", "model_key")
+    return hits.unionByName(same).groupBy("key").agg(F.min_by("model_key", F.struct("way", "start")).alias("model_key"))
+
+
+def rewritten(model: DataFrame, checkpoint: DataFrame) -> DataFrame:
+    """(ord, name, key, new_key): every checkpoint key under each of the 55 rewrites, i.e. eleven changes of the prefix times five of the wrapper."""
+    key = F.col("key")
+    changes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), c.alias("k")) for i, (name, c) in enumerate(N.prefix_changes(key))]))
+    base = checkpoint.select("key").distinct().select("key", changes.alias("c")).select("key", "c.i", "c.name", "c.k")
+    names = model.select(F.col("key").alias("known")).distinct()
+    forms = base.withColumns({"w": N.wrapped(F.col("k")), "u": N.unwrapped(F.col("k"))})
+    for c in ("k", "w", "u"):
+        forms = forms.join(names.select(F.col("known").alias(f"in_{c}")), F.col(c) == F.col(f"in_{c}"), "left")
+    found = suffix_matches(base.select(F.col("k").alias("key")), model).select(F.col("key").alias("k"), F.col("model_key").alias("by_tail"))
+    forms = forms.join(found, "k", "left")
+    ways = [("identity", F.col("k")), ("insert adapter module wrapper", F.col("w")), ("remove adapter module wrapper", F.col("u")), ("prefer existing adapter module wrapper", F.coalesce("in_k", "in_w", "in_u", "k")), ("unique suffix match", F.coalesce("by_tail", "k"))]
+    each = forms.select("key", "i", "name", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(n).alias("way"), c.alias("new_key")) for j, (n, c) in enumerate(ways)])).alias("x"))
+    name = F.when(F.col("x.j") == 0, F.col("name")).when(F.col("i") == 0, F.col("x.way")).otherwise(F.concat("name", F.lit(" + "), F.col("x.way")))
+    return each.select((F.col("i") * 5 + F.col("x.j")).alias("ord"), name.alias("name"), "key", F.col("x.new_key").alias("new_key"))
+
+
+def transforms(model: DataFrame, checkpoint: DataFrame) -> DataFrame:
+    """(ord, name, matched): how many checkpoint keys each rewrite turns into model keys."""
+    hits = rewritten(model, checkpoint).join(model.select(F.col("key").alias("known"), F.lit(1).alias("hit")).distinct(), F.col("new_key") == F.col("known"), "left")
+    return hits.groupBy("ord", "name").agg(F.count("hit").alias("matched"))
+
+
 def best_transform(model: DataFrame, checkpoint: DataFrame) -> DataFrame:
-    """(name, matched) of the key rewrite that matches most model keys, the earlier one on ties."""
-    ways = checkpoint.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(N.key_transforms())], "ord int, name string, strip string, add string")
-    keys = checkpoint.crossJoin(ways).where(F.startswith("key", F.col("strip"))).select("ord", "name", F.concat("add", F.expr("substr(key, length(strip) + 1)")).alias("key"))  # a fixed number of ways
-    got = keys.join(model.select("key").distinct(), "key").groupBy("ord", "name").agg(F.count("*").alias("matched"))
-    return got.groupBy().agg(F.max_by(F.struct("name", "matched"), F.struct("matched", -F.col("ord"))).alias("x")).select("x.name", "x.matched").where("name IS NOT NULL")
+    """(name, matched) of the rewrite that matches most, the earliest on ties."""
+    best = transforms(model, checkpoint).groupBy().agg(F.max_by(F.struct("name", "matched"), F.struct(F.col("matched"), -F.col("ord"))).alias("x"))
+    return best.select("x.name", "x.matched").where("name IS NOT NULL")
 
 
-def suffix_matches(keys: DataFrame, model: DataFrame) -> DataFrame:
-    """(key, model_key): the one model key that ends in the longest dotted suffix of the key; none where it is not unique.
+def load_report(model: DataFrame, checkpoint: DataFrame, name: str, *, examples: int = 5) -> DataFrame:
+    """(state, keys, examples): loaded and missing model keys and unexpected checkpoint keys under a rewrite, with the first few of each."""
+    new = rewritten(model, checkpoint).where(F.col("name") == name).select("key", "new_key")
+    known = model.select(F.col("key").alias("new_key")).distinct()
+    loaded = new.select("new_key").distinct().join(known, "new_key", "left_semi").select(F.lit("loaded").alias("state"), F.col("new_key").alias("key"))
+    missing = known.join(new, "new_key", "left_anti").select(F.lit("missing").alias("state"), F.col("new_key").alias("key"))
+    unexpected = new.join(known, "new_key", "left_anti").select(F.lit("unexpected").alias("state"), "key")
+    from pyspark.sql import Window as W
+
+    rows = loaded.unionByName(missing).unionByName(unexpected).withColumn("r", F.row_number().over(W.partitionBy("state").orderBy("key")))
+    return rows.groupBy("state").agg(F.count("*").alias("keys"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.col("key")))), ", ").alias("examples"))
+
+
+def weight_files(index: DataFrame) -> DataFrame:
+    """(folder, file): the different files of sharded weights; input (folder, weight_map)."""
+    return index.select("folder", F.explode(F.array_distinct(F.map_values("weight_map"))).alias("file"))
 
-    Both sides list their dotted suffixes, so this is an equi-join.
+
+def adapter_checkpoints(folders: DataFrame) -> DataFrame:
+    """Adds ``adapter``: whether a folder holds an adapter-tuned model; input (folder, log, keys), both nullable.
+
+    The method that the log names decides, else that of the path, else whether a tensor key is an adapter's.
     """
-    parts = F.split("key", r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
-    left = keys.select("key", F.explode(tails).alias("tail"))
-    right = model.select(F.col("key").alias("model_key"), F.explode(tails).alias("tail"))
-    hits = left.join(right, "tail").groupBy("key", "tail").agg(F.count("*").alias("n"), F.min("model_key").alias("model_key"))
-    return hits.where("n = 1").groupBy("key").agg(F.max_by("model_key", F.length("tail")).alias("model_key"))
+    told = F.nullif(F.regexp_extract("log", r"(?m)^\s*active_method:\s*(\S+)\s*$", 1), F.lit(""))
+    parts = F.reverse(F.split("folder", "/"))
+    by_path = F.get(F.filter(F.transform(parts, lambda x: N.method_in(x)), lambda m: m.isNotNull()), F.lit(0))
+    by_keys = F.exists(F.coalesce("keys", F.array().cast("array<string>")), lambda k: F.contains(k, F.lit(".adapter.")))
+    method = F.coalesce(N.method_in(told), by_path)
+    return folders.withColumn("adapter", F.when(method.isNotNull(), method == "AdapterFinetuning").otherwise(by_keys))
+
+
+def linear_attention(configs: DataFrame) -> DataFrame:
+    """Adds ``linear``: whether a model's configuration, or its text part, lists linear-attention layers; input holds ``config`` as JSON text."""
+    layers = lambda at: F.from_json(F.get_json_object("config", at), "array<string>")
+    has = F.lit(False)
+    for at in ("$.layer_types", "$.text_config.layer_types"):
+        has = has | F.coalesce(F.array_contains(layers(at), "linear_attention"), F.lit(False))
+    return configs.withColumn("linear", has)
+
+
+def incompatible(configs: DataFrame) -> DataFrame:
+    """Rows whose method can't train their model: prefix tuning with linear attention; input (method, config)."""
+    return linear_attention(configs).where((N.method(F.col("method")) == "PrefixFT") & F.col("linear"))
+
+
+def run_counters(plan: DataFrame) -> DataFrame:
+    """(converted, skipped) of a rename plan; a run whose name stays is skipped."""
+    return plan.agg(F.count_if(F.col("old") != F.col("new")).alias("converted"), F.count_if(F.col("old") == F.col("new")).alias("skipped"))
 
 
 def layer_groups(modules: DataFrame, targets: list[str]) -> DataFrame:

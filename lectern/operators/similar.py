@@ -13,6 +13,29 @@ from ..storage import written
 BLOCK = 2000
 
 
+def _blocks(df: DataFrame, key: str, group: str, vector: str, threshold: float | str | None, block: int) -> DataFrame:
+    """(g, x, y, b, k, v, t): rows of a group dealt by hash into blocks; a row of block b stands at every block pair (x, y) it is part of."""
+    rows = df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)).cast("double").alias("t"))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("__b"))
+    placed = rows.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("k"), F.col("__b")).cast("int"))
+    # a row of block b takes part in the block pairs (b, c) and (c, b), named by the smaller block first
+    to = placed.select("g", "k", "v", "t", "b", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)).alias("c"))
+    return to.select("g", F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"), "b", "k", "v", "t")
+
+
+def _product(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cosines of one block pair, which of them stand for a pair of the result (each pair once), and the keys of both sides."""
+    x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+    m = np.stack(pdf["v"].to_numpy())
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    m = np.where(n < 1e-10, 0.0, m / np.where(n < 1e-10, 1.0, n))
+    k, b = pdf["k"].to_numpy(), pdf["b"].to_numpy()
+    left, right = np.flatnonzero(b == x), np.flatnonzero(b == y)
+    s = m[left] @ m[right].T
+    once = k[left][:, None] < k[right][None, :] if x == y else np.ones_like(s, bool)
+    return s, once, k[left], k[right]
+
+
 def similar_pairs(df: DataFrame, key: str, group: str, vector: str, threshold: float | str | None = None, *, block: int = BLOCK) -> DataFrame:
     """(group, i, j, sim), i < j in the key's order: pairs of a group whose cosine exceeds the threshold (all pairs without one).
 
@@ -20,29 +43,27 @@ def similar_pairs(df: DataFrame, key: str, group: str, vector: str, threshold: f
     so no task holds more than two blocks and a hot group spreads over many. Null vectors are left out, zero ones have
     similarity 0. Exact: every pair of the group is compared.
     """
-    rows = df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)).cast("double").alias("t"))
-    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("__b"))
-    placed = rows.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("k"), F.col("__b")).cast("int"))
-    # a row of block b takes part in the block pairs (b, c) and (c, b), named by the smaller block first
-    to = placed.select("g", "k", "v", "t", "b", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)).alias("c"))
-    to = to.select("g", F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"), "b", "k", "v", "t")
     kind = df.schema[group].dataType.simpleString()
 
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        m = np.stack(pdf["v"].to_numpy())
-        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        m = np.where(n < 1e-10, 0.0, m / np.where(n < 1e-10, 1.0, n))
-        k, b = pdf["k"].to_numpy(), pdf["b"].to_numpy()
-        left, right = np.flatnonzero(b == x), np.flatnonzero(b == y)
-        s = m[left] @ m[right].T
-        ok = s > pdf["t"].iloc[0] if threshold is not None else np.ones_like(s, bool)
-        ok &= (k[left][:, None] < k[right][None, :]) if x == y else True
-        i, j = np.nonzero(ok)
-        a, c = k[left[i]], k[right[j]]
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, ok, left, right = _product(pdf)
+        i, j = np.nonzero(ok & (s > pdf["t"].iloc[0]) if threshold is not None else ok)
+        a, c = left[i], right[j]
         return pd.DataFrame({"g": pdf["g"].iloc[0], "i": np.minimum(a, c), "j": np.maximum(a, c), "sim": s[i, j]})
 
-    return to.groupBy("g", "x", "y").applyInPandas(product, f"g {kind}, i long, j long, sim double").withColumnRenamed("g", group)
+    return _blocks(df, key, group, vector, threshold, block).groupBy("g", "x", "y").applyInPandas(pairs, f"g {kind}, i long, j long, sim double").withColumnRenamed("g", group)
+
+
+def share_above(df: DataFrame, key: str, group: str, vector: str, threshold: float, *, block: int = BLOCK) -> DataFrame:
+    """(group, share, pairs): the share of a group's pairs whose cosine exceeds the threshold; block pairs are counted where they are multiplied."""
+    kind = df.schema[group].dataType.simpleString()
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, ok, _, _ = _product(pdf)
+        return pd.DataFrame({"g": pdf["g"].iloc[:1], "above": [int((ok & (s > threshold)).sum())], "pairs": [int(ok.sum())]})
+
+    parts = _blocks(df, key, group, vector, threshold, block).groupBy("g", "x", "y").applyInPandas(counted, f"g {kind}, above long, pairs long")
+    return parts.groupBy(F.col("g").alias(group)).agg(F.sum("above").alias("above"), F.sum("pairs").alias("pairs")).where("pairs > 0").select(group, (F.col("above") / F.col("pairs")).alias("share"), "pairs")
 
 
 def greedy_rounds(edges: DataFrame) -> DataFrame:
@@ -58,7 +79,7 @@ def greedy_rounds(edges: DataFrame) -> DataFrame:
     state = written(nodes.join(late, "node", "left").select("node", F.when(F.col("__l"), F.lit(None).cast("boolean")).otherwise(F.lit(False)).alias("removed")), "greedy-state")
     while not state.where("removed IS NULL").isEmpty():
         told = edges.join(state.select(F.col("node").alias("i"), "removed"), "i").groupBy(F.col("j").alias("node")).agg(F.max(F.coalesce(~F.col("removed"), F.lit(False))).alias("hit"), F.max(F.col("removed").isNull()).alias("open"))
-        state = written(state.join(told, "node", "left").select("node", F.coalesce("removed", F.when(F.col("hit"), True).when(~F.col("open"), False)).alias("removed")), "greedy-state")
+        state = written(state.join(told, "node", "left").select("node", F.coalesce("removed", F.when(F.col("hit"), True).when(~F.col("open"), False)).alias("removed")), "greedy-state", instead_of=state)
     return state
 
 
@@ -76,19 +97,20 @@ def greedy_dedup(df: DataFrame, key: str, group: str, vector: str, threshold: fl
 def sampled_pairs(df: DataFrame, key: str, group: str, size: int, seed: int) -> DataFrame:
     """(group, i, j): ``size`` different unordered pairs of each group's rows by their running numbers from 1, sorted; all pairs where there are no more.
 
-    Pair numbers are drawn, not pairs listed: candidates are hashed draws over the n(n-1)/2 pair numbers, of which the first
-    distinct ones are taken, so the work follows the sample, not the square of the group.
+    Pair numbers are drawn, not pairs listed: draws are md5 values of seed, group and number of the draw, spread over the
+    n(n-1)/2 pair numbers, of which the first distinct ones are taken, so the work follows the sample, not the square of the
+    group. Groups of up to twice the sample's pairs order all their pair numbers by such a value.
     """
     from pyspark.sql import Window as W
 
     counts = df.groupBy(group).agg(F.count("*").cast("long").alias("n"))
     total = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
-    few = counts.where(total <= 2 * size).select(group, "n", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(total, F.lit(1).cast("long")))).alias("p")).where(F.col("p") <= total)
-    few = few.withColumn("r", F.xxhash64(F.lit(seed), F.col(group), F.col("p")))
-    many = counts.where(total > 2 * size).select(group, "n", F.explode(F.sequence(F.lit(1), F.lit(3 * size + 20))).alias("t"))
-    many = many.select(group, "n", (F.pmod(F.xxhash64(F.lit(seed), F.col(group), F.col("t")), total) + 1).alias("p"), F.col("t").cast("long").alias("r"))
-    drawn = few.unionByName(many).groupBy(group, "n", "p").agg(F.min("r").alias("r"))
-    taken = drawn.withColumn("k", F.row_number().over(W.partitionBy(group).orderBy("r", "p"))).where(F.col("k") <= size)
+    drawn = lambda no: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string"), F.col(no).cast("string")))
+    few = counts.where((total <= 2 * size) & (total > 0)).select(group, "n", F.explode(F.sequence(F.lit(1).cast("long"), total)).alias("p")).withColumn("r", drawn("p"))
+    many = counts.where(total > 2 * size).select(group, "n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3 * size + 20).cast("long"))).alias("t")).withColumn("r", drawn("t"))
+    many = many.select(group, "n", (F.pmod(F.conv(F.substring("r", 1, 15), 16, 10).cast("long"), total) + 1).alias("p"), "r")
+    first = few.unionByName(many).groupBy(group, "n", "p").agg(F.min("r").alias("r"))
+    taken = first.withColumn("k", F.row_number().over(W.partitionBy(group).orderBy("r", "p"))).where(F.col("k") <= size)
     # pair number p (from 1) counts the pairs (i, j), i < j, by j and then i
     j = (F.floor((F.sqrt(8 * F.col("p").cast("double") - 7) + 1) / 2) + 1).cast("long")
     j = F.when((j - 1) * (j - 2) / 2 >= F.col("p"), j - 1).when(j * (j - 1) / 2 < F.col("p"), j + 1).otherwise(j)

@@ -3,39 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
-def smallest(df: DataFrame, rank: Column, size: int, *, by: int = 4096) -> DataFrame:
-    """Adds ``chosen``: whether a row is among the ``size`` smallest of a 32-digit hexadecimal rank, exactly.
+def cut_points(df: DataFrame, key: str, seeds: list[int], share: float) -> dict[int, str]:
+    """For each seed the rank up to which rows belong to the ceiling of n * share smallest ones; ``key`` must be unique.
 
-    Ranks are counted in ranges first; only the range in which the size ends is put in order, so no task orders all rows.
+    Ranks are counted by their first three digits, then, in the range in which the size ends, by the next three; the few ranks
+    of that last range reach the driver (one in 16 million of all rows a seed), nothing is ever ordered as a whole.
     """
-    rows = df.withColumn("__h", rank).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
-    per = rows.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = per.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy().orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = rows.join(before, "__b")
-    edge = (F.col("__before") < size) & (F.col("__before") + F.col("__n") > size)
-    inside = placed.where(edge).withColumn("chosen", F.row_number().over(W.partitionBy("__b").orderBy("__h")) + F.col("__before") <= size)
-    rest = placed.where(~edge).withColumn("chosen", F.col("__before") < size)
-    return inside.unionByName(rest).drop("__h", "__b", "__n", "__before")
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), T.hash_rank(s, F.col(key)).alias("h")) for i, s in enumerate(seeds)]))
+    ranks = df.select(pairs.alias("x")).select("x.i", "x.h")
+    head, left = [""] * len(seeds), [0] * len(seeds)
+    for digits in (3, 6):
+        inside = ranks if digits == 3 else ranks.where(F.substring("h", 1, 3) == F.element_at(F.array(*[F.lit(x) for x in head]), F.col("i") + 1))
+        counts: list[list[tuple[str, int]]] = [[] for _ in seeds]
+        for r in inside.groupBy("i", F.substring("h", 1, digits).alias("b")).count().collect():
+            counts[r["i"]].append((r["b"], r["count"]))
+        for i, got in enumerate(counts):
+            if digits == 3:
+                left[i] = -int(-(sum(n for _, n in got) * share) // 1)
+            for b, n in sorted(got):
+                head[i] = b
+                if n >= left[i]:
+                    break
+                left[i] -= n
+    last = ranks.where(F.substring("h", 1, 6) == F.element_at(F.array(*[F.lit(x) for x in head]), F.col("i") + 1))
+    found: dict[int, list[str]] = {}
+    for r in last.collect():
+        found.setdefault(r["i"], []).append(r["h"])
+    return {s: sorted(found[i])[left[i] - 1] if found.get(i) and left[i] > 0 else "" for i, s in enumerate(seeds)}
 
 
 def test_split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
-    """Adds ``split``: the ceiling of n * share rows are ``test``, the rest ``train_eval``; share 0 leaves none, 1 all."""
-    n = df.count()
-    size = -int(-(n * share) // 1)
-    return smallest(df, T.hash_rank(seed, F.col(key)), size).withColumn("split", F.when(F.col("chosen"), "test").otherwise("train_eval")).drop("chosen")
+    """Adds ``split``: the ceiling of n * share rows are ``test``, the rest ``train_eval``; share 0 leaves none, 1 all.
+
+    The result is a projection: rows up to a cut point of their hashed rank.
+    """
+    cut = cut_points(df, key, [seed], share)[seed]
+    return df.withColumn("split", F.when(T.hash_rank(seed, F.col(key)) <= cut, "test").otherwise("train_eval"))
 
 
-def resplit(pool: DataFrame, key: str, eval_share: float, split_id: int, seed: int = 42) -> DataFrame:
-    """Adds split_id and ``part``: eval or train, drawn anew for each split_id. ``eval_share`` is eval over train plus eval."""
-    n = pool.count()
-    size = -int(-(n * eval_share) // 1)
-    return smallest(pool, T.hash_rank(seed + split_id, F.col(key)), size).select("*", F.lit(split_id).alias("split_id"), F.when(F.col("chosen"), "eval").otherwise("train").alias("part")).drop("chosen")
+def resplits(pool: DataFrame, key: str, eval_share: float, split_ids: list[int], seed: int = 42) -> DataFrame:
+    """The pool once for each split_id, with split_id and ``part``: eval or train, drawn anew for each.
+
+    ``eval_share`` is eval over train plus eval. All cut points come from the same passes.
+    """
+    cuts = cut_points(pool, key, [seed + i for i in split_ids], eval_share)
+    parts = F.array(*[F.struct(F.lit(i).alias("split_id"), F.when(T.hash_rank(seed + i, F.col(key)) <= cuts[seed + i], "eval").otherwise("train").alias("part")) for i in split_ids])
+    return pool.withColumn("__x", F.explode(parts)).select(*pool.columns, "__x.split_id", "__x.part")
 
 
 def test_epochs(interval: Column, epochs: Column) -> Column:

@@ -23,10 +23,11 @@ def adjacent_pairs(messages: DataFrame) -> DataFrame:
     return m.where("role = 'user' AND next_role = 'assistant' AND next_turn = turn + 1").select("conv_id", "turn", F.col("content").alias("question"), "answer")
 
 
-def chat_contexts(messages: DataFrame, *, history: bool = True, last: int = 64) -> DataFrame:
+def chat_contexts(messages: DataFrame, *, history: bool = True) -> DataFrame:
     """(conv_id, turn, context): for each user turn the system message and all turns up to it as role and content.
 
-    A conversation is a bounded group; without history the context holds system and current turn alone.
+    A conversation is a bounded group, and the contexts of its n turns hold about n * n / 2 messages, as asked for; without
+    history the context holds system and current turn alone.
     """
     m = messages.select("conv_id", "turn", role(F.col("role")).alias("role"), F.coalesce("content", F.lit("")).alias("content"))
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -38,7 +39,10 @@ def chat_contexts(messages: DataFrame, *, history: bool = True, last: int = 64)
 
 
 def earlier_questions(df: DataFrame, keys: list[str], order: str, question: str) -> DataFrame:
-    """Adds ``earlier``: the questions before a row in its group of bounded quota."""
+    """Adds ``earlier``: the questions before a row in its group.
+
+    ``keys`` must name groups of bounded size, such as a section's quota of one type, since the lists of a group grow with its square.
+    """
     w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return df.withColumn("earlier", F.collect_list(question).over(w))
 

@@ -12,17 +12,19 @@ from ..operators import similar as S
 from ..storage import written
 
 
-def filter_pipeline(df: DataFrame, key: str, group: str, question: str, answer: str, *, qq_upper: float, qa_lower: float, order: str = "qq_first") -> DataFrame:
+def filter_pipeline(df: DataFrame, key: str, group: str, question: str, answer: str, *, qq_upper: float | str, qa_lower: float | str, order: str = "qq_first") -> DataFrame:
     """Near-duplicate questions removed, then irrelevant pairs; ``qa_first`` filters relevance before.
 
-    The order matters: a removed duplicate's keeper may itself be irrelevant.
+    A threshold is one number, or the name of a column that holds its type's. The order matters: a removed duplicate's keeper
+    may itself be irrelevant.
     """
     sim = F.round(V.cosine(F.col(question), F.col(answer)), 12)
+    least = F.col(qa_lower) if isinstance(qa_lower, str) else F.lit(qa_lower)
     rows = df.withColumn("qa_sim", sim)
     if order == "qa_first":
-        rows = rows.where(F.col("qa_sim") >= qa_lower)
+        rows = rows.where(F.col("qa_sim") >= least)
     kept, _ = S.greedy_dedup(rows, key, group, question, qq_upper)
-    return kept.where(F.col("qa_sim") >= qa_lower)
+    return kept.where(F.col("qa_sim") >= least)
 
 
 def text_pipeline(df: DataFrame, key: str, embed, thresholds: DataFrame, *, longest: int = 1000) -> DataFrame:

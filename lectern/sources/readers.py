@@ -6,15 +6,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import exists
 
 REASONS = ("not an object", "a key is missing", "question is no text", "answer is no text")
 
 
-def jsonl_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+def _split_lines(spark: SparkSession, path: str, glob: str, recursive: bool) -> DataFrame:
+    """(path, split, line_no, line): lines are read split by split, so a large file is read by many tasks.
+
+    The rows of a split carry consecutive ids in reading order; a line's number is its place in its split plus the lines of the
+    file's splits before, which are counted first (a row a split).
+    """
+    files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
+    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+    from pyspark.sql import Window as W
+
+    per = rows.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begin = per.select("path", "split", (before - F.col("first")).alias("shift"))
+    return rows.join(begin, ["path", "split"]).select("path", "split", (F.col("id") + F.col("shift") + 1).cast("int").alias("line_no"), "line")
+
+
+def jsonl_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", *, recursive: bool = True) -> DataFrame:
     """(path, line_no from 1, line): every line of every file below ``path``, blank ones included in the count."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
-    return files.select("path", F.posexplode(lines).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_no"), "line")
+    return _split_lines(spark, path, glob, recursive).drop("split")
+
+
+def data_files(spark: SparkSession, path: str, glob: str = "*.jsonl") -> list[str]:
+    """The path itself if it is a file, else the files below it in order of their paths; an error where there are none."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no such path: {path}")
+    found = sorted(r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path").collect())
+    if not found:
+        raise FileNotFoundError(f"no {glob} below {path}")
+    return found
+
+
+def read_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON lines of a file or folder with the schema their values show."""
+    return spark.read.json(data_files(spark, path))
+
+
+def read_sidecars(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(folder, and the top-level values): the JSON file of a given name of every folder below ``path``."""
+    got = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(path)
+    return got.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder"), *[F.col(f"`{c}`") for c in got.columns])
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -44,18 +80,18 @@ def read_pairs(spark: SparkSession, path: str, *, strict_file: bool = False) ->
 
     ``strict_file`` drops every row of a file that holds an invalid line.
     """
-    rows = parsed(jsonl_lines(spark, path))
+    rows = parsed(_split_lines(spark, path, "*.jsonl", True))
     if strict_file:
         bad = rows.where("reason IS NOT NULL AND reason <> 'blank'").select("path").distinct()
         rows = rows.join(bad, "path", "left_anti")
     from pyspark.sql import Window as W
 
     good = rows.where("reason IS NULL")
-    # offsets of the files are summed over the few files, line order inside a file is local
-    per = good.groupBy("path").agg(F.count("*").alias("n"))
-    before = per.withColumn("__b", F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("path", "__b")
-    nth = F.row_number().over(W.partitionBy("path").orderBy("line_no"))
-    return good.withColumn("__r", nth).join(before, "path").select((F.col("__b") + F.col("__r") - 1).cast("long").alias("row_id"), T.chapter_tag(F.col("path")).alias("_file"), "line_no", "type", "question", "answer")
+    # a row a split is summed over; the order inside a split, of bounded size, is local
+    per = good.groupBy("path", "split").agg(F.count("*").alias("n"))
+    before = per.withColumn("__b", F.coalesce(F.sum("n").over(W.partitionBy().orderBy("path", "split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("path", "split", "__b")
+    nth = F.row_number().over(W.partitionBy("path", "split").orderBy("line_no"))
+    return good.withColumn("__r", nth).join(before, ["path", "split"]).select((F.col("__b") + F.col("__r") - 1).cast("long").alias("row_id"), T.chapter_tag(F.col("path")).alias("_file"), "line_no", "type", "question", "answer")
 
 
 def read_strict(spark: SparkSession, path: str, schema: str = "type string, question string, answer string") -> DataFrame:
@@ -64,8 +100,8 @@ def read_strict(spark: SparkSession, path: str, schema: str = "type string, ques
 
 
 def read_labelled(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
-    """Several named data sets read as one, each row with its ``dataset``."""
-    parts = [parsed(jsonl_lines(spark, p)).withColumn("dataset", F.lit(name)) for name, p in sorted(folders.items())]
+    """Several named data sets read as one, each row with its ``dataset``; folders inside a data set's folder are not read."""
+    parts = [parsed(jsonl_lines(spark, p, recursive=False)).withColumn("dataset", F.lit(name)) for name, p in sorted(folders.items())]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

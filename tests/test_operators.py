@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import external as X
+from lectern.functions import names as N
 from lectern.functions import text as T
 from lectern.operators import curate as C
 from lectern.operators import runs as R
@@ -90,8 +91,8 @@ def test_splits_are_exact(spark):
     got = {r["split"]: r["count"] for r in P.test_split(df, "k", 0.2).groupBy("split").count().collect()}
     assert got == {"test": 201, "train_eval": 802}
     assert P.test_split(df, "k", 0.0).where("split = 'test'").count() == 0
-    a = P.resplit(df, "k", 0.125, 0).where("part = 'eval'")
-    b = P.resplit(df, "k", 0.125, 1).where("part = 'eval'")
+    a = P.resplits(df, "k", 0.125, [0]).where("part = 'eval'")
+    b = P.resplits(df, "k", 0.125, [1]).where("part = 'eval'")
     assert a.count() == b.count() == 126 and a.join(b, "k").count() < 126
 
 
@@ -210,3 +211,141 @@ def test_streaming_keeps_first_of_equal_pairs(spark, tmp_path):
 
 def test_overfit_indicator(spark):
     assert spark.range(1).select(T.overfit_indicator(F.lit(1.0), F.lit(0.1))).first()[0] == pytest.approx(1.0)
+
+
+def test_splits_take_the_smallest_ranks_at_every_share(spark):
+    df = spark.range(137).withColumnRenamed("id", "k")
+    order = [r["k"] for r in df.orderBy(T.hash_rank(42, F.col("k"))).collect()]
+    for share in (0.0, 0.01, 0.2, 0.5, 1.0):
+        got = {r["k"] for r in P.test_split(df, "k", share).where("split = 'test'").collect()}
+        assert got == set(order[: -int(-(137 * share) // 1)])
+    assert P.test_split(df.where("k < 0"), "k", 0.2).count() == 0
+    both = P.resplits(df, "k", 0.125, [0, 1])
+    assert both.count() == 274 and both.where("part = 'eval'").groupBy("split_id").count().where("count = 18").count() == 2
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    lines = [json.dumps({"type": "t", "question": f"q{i}", "answer": "a" * (i % 50)}) if i % 7 else "" for i in range(4000)]
+    for name in ("01 a.jsonl", "02 b.jsonl"):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        df = readers.jsonl_lines(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 1
+        got = {(r["path"][-10:-6], r["line_no"]): r["line"] for r in df.collect()}
+        rows = readers.read_pairs(spark, str(tmp_path)).orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 8000 and all(got[(f, i + 1)] == x for f in {k[0] for k in got} for i, x in enumerate(lines))
+    good = [i + 1 for i, x in enumerate(lines) if x and json.loads(x)["answer"]]
+    assert [r["row_id"] for r in rows] == list(range(2 * len(good))) and [r["line_no"] for r in rows] == good * 2
+
+
+def test_only_the_own_folder_of_a_named_data_set_is_read(spark, tmp_path):
+    (tmp_path / "a" / "deep").mkdir(parents=True)
+    line = json.dumps({"type": "t", "question": "q", "answer": "a"})
+    (tmp_path / "a" / "x.jsonl").write_text(line)
+    (tmp_path / "a" / "deep" / "y.jsonl").write_text(line)
+    assert readers.read_labelled(spark, {"one": str(tmp_path / "a")}).count() == 1
+    assert [f.rsplit("/", 1)[-1] for f in readers.data_files(spark, str(tmp_path))] == ["y.jsonl", "x.jsonl"]
+    assert readers.read_inferred(spark, str(tmp_path)).columns == ["answer", "question", "type"]
+    for missing in (tmp_path / "none", tmp_path / "a" / "deep" / "z"):
+        with pytest.raises(FileNotFoundError):
+            readers.data_files(spark, str(missing))
+    with pytest.raises(FileNotFoundError):
+        readers.data_files(spark, str(tmp_path), "*.csv")
+
+
+def test_sidecars(spark, tmp_path):
+    for i, kind in enumerate(("LORA", "PREFIX")):
+        (tmp_path / f"c{i}").mkdir()
+        (tmp_path / f"c{i}" / "adapter_config.json").write_text(json.dumps({"peft_type": kind}, indent=1))
+    got = {r["folder"].rsplit("/", 1)[-1]: r["peft_type"] for r in readers.read_sidecars(spark, str(tmp_path), "adapter_config.json").collect()}
+    assert got == {"c0": "LORA", "c1": "PREFIX"}
+
+
+def test_replacing_keeps_the_old_table_until_the_new_one_stands(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_replacing(spark.range(3), path)
+    sinks.write_replacing(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5
+    with pytest.raises(Exception):
+        sinks.write_replacing(spark.range(2).select(F.raise_error(F.lit("no")).cast("long").alias("id")), path)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_logs_and_snapshots(tmp_path):
+    assert sinks.block_text({"a": 1, "b": {"c": [1, {"d": 2}]}, "e": []}, "t") == "t\n  a: 1\n  b:\n    c:\n      - 1\n      -\n        d: 2\n  e:"
+    assert sinks.block_text("x", "n") == "n: x" and sinks.block_text([1]) == "list\n  - 1"
+    sinks.append_log(str(tmp_path / "l"), "一")
+    sinks.append_log(str(tmp_path / "l"), {"k": 2})
+    assert (tmp_path / "l").read_text() == "一\ndict\n  k: 2\n"
+    sinks.snapshot({"b": 1, "a": {"x": "中"}}, str(tmp_path / "c.yaml"))
+    assert config.load(str(tmp_path / "c.yaml")) == {"b": 1, "a": {"x": "中"}}
+
+
+def settings():
+    train = {"num_epochs": 1, "batch_size": 2, "gradient_accumulation_steps": 1, "learning_rate": 0.1}
+    return {
+        "global": {**{k: 1 for k in config.REQUIRED["global"]}, "train_size": 0.7, "eval_size": 0.1, "test_size": 0.2},
+        "LoRA": {"rank": 4, "alpha": 8, "scaling_type": "r/a", "dropout_rate": 0.1, "target_modules": ["q"], "init_lora_weights": True, **train},
+        "PrefixFT": {"num_virtual_tokens": 3, "prefix_projection": False, "init_weights": True, **train},
+        "AdapterFinetuning": {"target_modules": "x", "adapter_len": 3, "adapter_layers": 2, **train},
+    }
+
+
+@pytest.mark.parametrize(
+    "section,key,value",
+    [("LoRA", "rank", 0), ("LoRA", "dropout_rate", 1), ("LoRA", "target_modules", []), ("LoRA", "scaling_type", "x"), ("LoRA", "target_layer_side", "up"), ("LoRA", "target_layer_side", "input"), ("LoRA", "target_layer_count", 2), ("global", "train_size", 0.9), ("global", "eval_size", 0), ("global", "test_eval_epochs", -1), ("PrefixFT", "num_epochs", 0), ("AdapterFinetuning", "target_modules", " "), ("PrefixFT", "num_virtual_tokens", "many")],
+)
+def test_configuration_is_checked(section, key, value):
+    assert config.problems(settings()) == []
+    config.check(settings(), "LoRA")
+    bad = settings()
+    bad[section][key] = value
+    assert config.problems(bad)
+    with pytest.raises(ValueError):
+        config.check(bad, "LoRA")
+    del bad[section]
+    assert any("missing" in x for x in config.problems(bad))
+
+
+def test_columns_paths_and_methods(spark, tmp_path):
+    with pytest.raises(ValueError, match="answer"):
+        config.check_columns(spark.range(1), "id", "answer")
+    with pytest.raises(ValueError):
+        config.check(settings(), "other")
+    (tmp_path / "m").mkdir()
+    assert config.resolved("m", str(tmp_path)) == str(tmp_path / "m") and config.resolved(None, "x") is None
+    assert config.model_path("m", "/nowhere", str(tmp_path)) == str(tmp_path / "m")
+    with pytest.raises(FileNotFoundError):
+        config.model_path("none", str(tmp_path), str(tmp_path))
+
+
+def test_numbers_as_six_significant_digits(spark):
+    cases = [0.1234567, 1e-5, 123456.7, 1234567.8, 2.5, 3.0, 0.0, -0.00012345678, 100.5, 1.5e-10, 99999.96, -2.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in cases], "x double").select(N.number(F.col("x"))).collect()]
+    assert got == [str(int(x)) if x.is_integer() else f"{x:g}" for x in cases]
+
+
+def test_funnel_is_one_scan(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (None, "b")], "n int, x string")
+    rows = {r["stage"]: r["n"] for r in C.funnel(df, [("raw", F.lit(True)), ("numbered", F.col("n").isNotNull())], distinct=("distinct", F.col("x"))).collect()}
+    assert rows == {"raw": 4, "numbered": 3, "distinct": 1}
+    assert [r["n"] for r in C.funnel(df.where("n > 9"), [("raw", F.lit(True))]).collect()] == [0]
+
+
+def test_run_counters(spark):
+    got = R.run_counters(spark.createDataFrame([("a", "b"), ("c", "c")], "old string, new string")).first()
+    assert (got["converted"], got["skipped"]) == (1, 1)
+
+
+def test_folders_are_swept(spark):
+    from lectern import storage
+
+    a = storage.written(spark.range(3), "t")
+    b = storage.written(a, "t", instead_of=a)
+    assert not storage.exists(spark, a._lectern_folder) and b.count() == 3
+    storage.sweep(b._lectern_folder)
+    assert not storage.exists(spark, b._lectern_folder)
