@@ -17,20 +17,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pack_cells, read_table, slices, string_parts, unpack_cells
+from .common import mix64, once_fitted, pack_cells, read_table, slices, string_parts, unpack_cells
 
 BITS = 16
 #: Gaps of a subsequence: offsets of its second and third character, and the discount of a skipped character.
 PAIRS, TRIPLES, DISCOUNT = (1, 2, 3), ((1, 1), (1, 2), (2, 1), (2, 2)), 0.6
 LANDMARKS, ROUNDS, SEED, COST = 448, 3, 11, 0.7
-#: Labelled and unlabelled documents taken for training at most (smallest hash of the id first), and those longer than this left out of it.
-LABELLED, BACKGROUND, TRAIN_CHARS = 3200, 2000, 6000
-LONGEST, SHORTEST = 90, 14
+#: Labelled and unlabelled documents taken for training at most (smallest hash of the id first), and characters of each of the two
+#: at most; terms read at most.
+LABELLED, BACKGROUND, TRAIN_CHARS, TERMS = 3200, 2000, 5_000_000, 10_000
+#: Letters a window of a longer sentence holds, from one window's begin to the next, and letters below which a sentence counts as longer.
+LONGEST, STRIDE, SHORTEST = 90, 45, 14
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters inside words.
 LOOKALIKES = dict(zip("аеорсухіѕјкмтнвԁոɡοαεινρτυκ", "aeopcyxisjkmthbdngoaeivptuk"))
 LEET = dict(zip("01345789@$!|", "oieastbgasil"))
-FORMULA = re.compile(r"\$[^$\n]*[\\^_{}=\[\](),][^$\n]*\$|```.*?```", re.S)
+#: Formulas between dollar signs that no Latin letter touches; words in one that are no commands.
+FORMULA = re.compile(r"(?<![A-Za-z])\$[^$\n]*[\\^_{}=\[\](),][^$\n]*\$(?![A-Za-z])")
+PROSE = re.compile(r"(?<![\\A-Za-z])[^\W\d_]{2,}")
 ENDS = "。！？!?；;…\n\r"
 
 # Labelled sentences to start from where the labels are few: 1 insults, threatens, demeans or is explicit, 0 is not.
@@ -67,10 +71,19 @@ def _fold() -> tuple[np.ndarray, np.ndarray]:
     return _TABLE["f"], _TABLE["l"]
 
 
-def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts as folded letters, with the sentence and the text each letter belongs to (sentences numbered through)."""
+def without_formulas(t: str) -> str:
+    """The text without its formulas; those that hold words follow as sentences of their own."""
+    spoken = [x for x in FORMULA.findall(t) if len(PROSE.findall(x)) > 1] if "$" in t else []
+    return "\n".join([FORMULA.sub(" ", t), *(x.replace("$", " ") for x in spoken)])
+
+
+def letters(texts: list[str], *, training: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as folded letters, with the sentence and the text each letter belongs to (sentences numbered through).
+
+    For training, windows stand side by side and formulas are left out, so that no letter counts twice.
+    """
     fold, leet = _fold()
-    cp, off = string_parts(pa.array([FORMULA.sub(" ", t) for t in texts], pa.string()))
+    cp, off = string_parts(pa.array([FORMULA.sub(" ", t) if training else without_formulas(t) for t in texts], pa.string()))
     n = len(cp)
     if n == 0:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -98,11 +111,18 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = (sym > 0) | (blank & after_latin & ~np.r_[False, blank[:-1]])
     sym = np.where(blank & keep, 32, sym)
     sym, sentence, owner = sym[keep], sentence[keep], owner[keep]
-    # over-long sentences are cut into windows
+    # over-long sentences are read through overlapping windows, so that whatever stands across a border is whole in the next one
     if len(sym):
-        first = np.r_[True, sentence[1:] != sentence[:-1]]
-        at = np.arange(len(sym)) - np.maximum.accumulate(np.where(first, np.arange(len(sym)), 0))
-        sentence = np.cumsum(first | (at % LONGEST == 0)) - 1
+        begin = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+        size = np.diff(np.r_[begin, len(sym)])
+        stride = LONGEST if training else STRIDE
+        count = np.where(size > LONGEST, -(-(size - LONGEST) // stride) + 1, 1)
+        which = np.repeat(np.arange(len(begin)), count)
+        start = (np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)) * stride
+        length = np.minimum(size[which] - start, LONGEST)
+        sentence = np.repeat(np.arange(len(which)), length)
+        at = np.arange(len(sentence)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(begin[which] + start, length)
+        sym, owner = sym[at], owner[at]
     return sym, sentence, owner
 
 
@@ -138,7 +158,7 @@ class Sentences:
     def __init__(self, texts: list[str], block: int = 200):
         owner, idx, val, per = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
         for i in range(0, len(texts), block):
-            sym, sentence, own = letters(texts[i : i + block])
+            sym, sentence, own = letters(texts[i : i + block], training=True)
             if not len(sym):
                 continue
             n = int(sentence[-1]) + 1
@@ -301,25 +321,35 @@ def fitted(labelled: list[tuple[str, int]], background: list[str], terms: list[t
     return w
 
 
-def abuse_scores(docs: DataFrame, labels: DataFrame, terms: DataFrame, *, labelled: int = LABELLED) -> DataFrame:
-    """(doc_id, source, score): flagged where the score is above 0.
+def _drawn(docs: DataFrame, most: int) -> list:
+    """Documents with text in order of their hashed id: at most ``most``, as long as they hold no more than TRAIN_CHARS characters."""
+    order = F.xxhash64(F.lit(SEED), "doc_id")
+    rows = docs.where(F.length("text") > 0).withColumn("__o", order)
+    sizes = rows.select("__o", F.length("text").alias("n")).orderBy("__o", "n").limit(most).collect()
+    upto = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), TRAIN_CHARS, side="right"))
+    return rows.where(F.col("__o") <= F.lit(sizes[upto - 1]["__o"])).orderBy("__o", "text").collect() if upto else []
+
+
+def model(docs: DataFrame, labels: DataFrame, terms: DataFrame, *, labelled: int = LABELLED) -> np.ndarray:
+    """Folded weights fitted to labelled and some unlabelled documents.
 
-    Conflicting or null labels of a document do not count; null, empty and letterless texts score -1; without any labels the
-    built-in sentences and the terms alone train the machine.
+    Conflicting or null labels of a document do not count; without any labels the built-in sentences and the terms alone train
+    the machine.
     """
-    spark = docs.sparkSession
     verdicts = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo = hi")
     few = verdicts.orderBy(F.xxhash64(F.lit(SEED), "doc_id")).limit(labelled).select("doc_id", F.col("hi").alias("label"))
-    usable = docs.where((F.length("text") > 0) & (F.length("text") <= TRAIN_CHARS)).select("doc_id", "text")
-    order = F.xxhash64(F.lit(SEED), "doc_id")
-    # hashes below this bound hold about twice the unlabelled texts that are wanted
-    bound = int((min(1.0, 2 * BACKGROUND / max(1, docs.count())) - 0.5) * 2**64 * (1 - 1e-9))
-    rows = usable.join(F.broadcast(few), "doc_id").orderBy(order, "text").collect()
+    rows = _drawn(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), labelled)  # at most so many ids
+    # hashes below this bound hold about four times the unlabelled texts that are wanted
+    bound = int((min(1.0, 4 * BACKGROUND / max(1, docs.count())) - 0.5) * 2**64 * (1 - 1e-9))
     known_ids = {r["doc_id"] for r in rows}
-    others = [r["text"] for r in usable.where(order <= F.lit(bound)).orderBy(order, "text").limit(2 * BACKGROUND).collect() if r["doc_id"] not in known_ids][:BACKGROUND]
-    known = [(r["term"], r["weight"] or 0) for r in terms.where(F.col("term").isNotNull()).collect()]
-    model = fitted([(r["text"], r["label"]) for r in rows], others, known)
-    shared = spark.sparkContext.broadcast(pack_cells(model.astype(np.float32)))  # of fixed size
+    others = [r["text"] for r in _drawn(docs.select("doc_id", "text").where(F.xxhash64(F.lit(SEED), "doc_id") <= F.lit(bound)), 2 * BACKGROUND) if r["doc_id"] not in known_ids][:BACKGROUND]
+    known = [(r["term"], r["weight"] or 0) for r in terms.where(F.col("term").isNotNull()).orderBy(F.desc_nulls_last("weight"), "term").limit(TERMS).collect()]
+    return fitted([(r["text"], r["label"]) for r in rows], others, known)
+
+
+def abuse_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(doc_id, source, score): flagged where the score is above 0. Null, empty and letterless texts score -1."""
+    shared = docs.sparkSession.sparkContext.broadcast(pack_cells(weights.astype(np.float32)))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = unpack_cells(shared.value, np.float32).astype(np.float64)
@@ -332,7 +362,8 @@ def abuse_scores(docs: DataFrame, labels: DataFrame, terms: DataFrame, *, labell
 
 
 def _scored(spark, sf_dir: str) -> DataFrame:
-    return abuse_scores(*(read_table(spark, sf_dir, t) for t in ("documents", "doc_labels", "abuse_terms")))
+    docs, labels, terms = (read_table(spark, sf_dir, t) for t in ("documents", "doc_labels", "abuse_terms"))
+    return abuse_scores(docs, once_fitted("p8", [docs, labels, terms], lambda: model(docs, labels, terms)))
 
 
 def p8_scores(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FITTED: dict[tuple, object] = {}
+
+
+def once_fitted(name: str, tables: list[DataFrame], fit):
+    """A model fitted once a session to the same files, so that the queries that use it share it."""
+    key = (name, tables[0].sparkSession.sparkContext.applicationId, *(f for t in tables for f in sorted(t.inputFiles())))
+    if key not in _FITTED:
+        for old in [k for k in _FITTED if k[:2] == key[:2]]:  # one model of a kind is kept
+            del _FITTED[old]
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
 def string_parts(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all strings end to end (uint32) and the n+1 offsets; a null counts as empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -352,6 +352,46 @@ def test_p8_disguises_and_innocents():
     assert s[: len(bad)].min() > s[len(bad) :].max()
 
 
+def test_p8_insult_at_every_place_of_a_long_line():
+    w = abuse.train([], [], [("idiot", 3)])
+    calm = "we take the next vertex of the graph and follow its edges until the walk closes and then count them again " * 3
+    alone = abuse.doc_scores([calm], w)[0]
+    lines = [calm[:k] + " You are a worthless idiot and everybody knows it " + calm[k:] for k in range(0, 200, 3)]
+    assert abuse.doc_scores(lines, w).min() > max(0, alone)
+
+
+def test_p8_formulas_hide_nothing():
+    assert "tupid" in abuse.without_formulas("You $tupid, u$eless fool") and "begin" not in abuse.without_formulas("by $\\sum_{begin}^{n} x$ we see")
+    assert "worthless fool" in abuse.without_formulas("so $x_1 = \\text{you worthless fool}$ holds")
+    sym, sentence, owner = abuse.letters(["```\nyou fool\n```"])
+    assert len(sym) and set(owner.tolist()) == {0}
+    sym, sentence, owner = abuse.letters(["a" * 200, "b" * 90, ""])
+    assert np.bincount(sentence).max() == abuse.LONGEST and len(np.unique(sentence[owner == 0])) == 4 and len(np.unique(sentence[owner == 1])) == 1
+
+
+def test_p8_rates_follow_from_scores(spark):
+    if not os.path.isdir(DATA):
+        pytest.skip("test data not there")
+    scores = {r["doc_id"]: r["score"] for r in abuse.p8_scores(spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source").collect()
+    assert len(docs) == len(scores)
+    found = {r["doc_id"] for r in abuse.p8_found(spark, DATA).collect()}
+    assert found == {k for k, v in scores.items() if v > 0}
+    for r in abuse.p8_rates(spark, DATA).collect():
+        own = [d["doc_id"] for d in docs if d["source"] == r["source"]]
+        assert (r["documents"], r["flagged"]) == (len(own), len(found & set(own)))
+
+
+def test_p3_report_follows_from_pairs(spark):
+    if not os.path.isdir(DATA):
+        pytest.skip("test data not there")
+    found = {x for r in overlap.p3_found(spark, DATA).collect() for x in r}
+    rows = {r["sample_id"]: (r["split"].strip().lower(), r["source"]) for r in spark.read.parquet(f"{DATA}/split_rows.parquet").where("split IS NOT NULL").collect()}
+    for r in overlap.p3_report(spark, DATA).collect():
+        own = {k for k, v in rows.items() if v == (r["split"], r["source"])}
+        assert (r["samples"], r["overlapping"]) == (len(own), len(own & found)) and r["exact_overlapping"] <= r["overlapping"]
+
+
 def test_p8_learns_from_labels(spark, tmp_path):
     r = random.Random(4)
     topics = ["graphs", "sets", "primes", "trees", "lattices"]
