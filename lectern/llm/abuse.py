@@ -25,7 +25,7 @@ PAIRS, TRIPLES, DISCOUNT = (1, 2, 3), ((1, 1), (1, 2), (2, 1), (2, 2)), 0.6
 LANDMARKS, ROUNDS, SEED, COST = 448, 3, 11, 0.7
 #: Labelled and unlabelled documents taken for training at most (smallest hash of the id first), and characters of each of the two
 #: at most; terms read at most.
-LABELLED, BACKGROUND, TRAIN_CHARS, TERMS = 3200, 2000, 5_000_000, 10_000
+LABELLED, BACKGROUND, TRAIN_CHARS, TERMS = 3200, 2000, 3_500_000, 10_000
 #: Letters a window of a longer sentence holds, from one window's begin to the next, and letters below which a sentence counts as longer.
 LONGEST, STRIDE, SHORTEST = 90, 45, 14
 
