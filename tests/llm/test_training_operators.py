@@ -81,6 +81,60 @@ def test_p1_equals_brute_force(spark, tmp_path):
     assert classes[0] == classes[len(texts) - 8]
 
 
+def p1_links(spark, texts, **how):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    ids = {h: i for i, h in enumerate(text_hashes(*joined_letters(pa.array(texts))).tolist())}
+    return {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in near_duplicates.class_links(df, ["t"], **how).collect()}
+
+
+def test_p1_large_group_of_long_versions(spark):
+    """A third of all texts are versions of one long text: each meets a few of the others, and the group is then compared whole."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    root = word(900)
+    texts = [edited(r, root, r.randint(20, 60)) for _ in range(240)] + [word(300) for _ in range(480)]
+    want = {p for p, s in jaccards(texts).items() if s >= 0.6}
+    got = p1_links(spark, texts)
+    assert len(want) > 2 * near_duplicates.FULL * 240 and got <= want and len(got) >= 0.999 * len(want)
+
+
+def test_p1_template_gives_candidates_in_proportion(spark):
+    """Texts that share most of their characters, but none of them enough, meet a bounded number of others each."""
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    start = word(60)
+    for n in (500, 2000):
+        df = spark.createDataFrame([(start + word(22),) for _ in range(n)], "t string")
+        frequency, m = near_duplicates.frequency_sketch(df)
+        signed = near_duplicates._signed(df, ["t"], frequency, m, near_duplicates.UNITS, near_duplicates.LEAST_HITS, 0.6).cache()
+        assert signed.groupBy("sig").count().agg({"count": "max"}).first()[0] == n
+        assert near_duplicates.posting_pairs(signed, near_duplicates.FULL).distinct().count() < 200 * n
+        assert near_duplicates.candidates(signed, near_duplicates.LEAST_HITS).count() < 4 * near_duplicates.FULL * n
+        signed.unpersist()
+
+
+def test_p1_exact_mode_finds_every_pair(spark):
+    texts = corpus(7, length=50)
+    want = {frozenset((texts[i], texts[j])) for (i, j), s in jaccards(texts).items() if s >= 0.6 and texts[i] != texts[j]}
+    assert {frozenset((texts[i], texts[j])) for i, j in p1_links(spark, texts, exact=True)} == want
+
+
+def test_p1_cells_link_a_large_posting():
+    cls = np.random.default_rng(1).integers(-(2**63), 2**63, 5000)
+    a, b = near_duplicates.cell_pairs(cls, 32)
+    assert len(a) < 2 * 32 * len(cls)
+    seen, todo, links = {cls[0]}, [cls[0]], {}
+    for x, y in zip(a.tolist(), b.tolist()):
+        links.setdefault(x, []).append(y)
+        links.setdefault(y, []).append(x)
+    while todo:
+        for y in links.get(todo.pop(), []):
+            if y not in seen:
+                seen.add(y)
+                todo.append(y)
+    assert len(seen) == len(cls)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in [*range(31), 100, 101]], "node long")
