@@ -107,7 +107,7 @@ def test_p1_template_gives_candidates_in_proportion(spark):
         df = spark.createDataFrame([(start + word(22),) for _ in range(n)], "t string")
         frequency, m = near_duplicates.frequency_sketch(df)
         signed = near_duplicates._signed(df, ["t"], frequency, m, near_duplicates.UNITS, near_duplicates.LEAST_HITS, 0.6).cache()
-        assert signed.groupBy("sig").count().agg({"count": "max"}).first()[0] == n
+        assert signed.distinct().groupBy("sig").count().agg({"count": "max"}).first()[0] == n  # one posting holds them all
         assert near_duplicates.posting_pairs(signed, near_duplicates.FULL).distinct().count() < 200 * n
         assert near_duplicates.candidates(signed, near_duplicates.LEAST_HITS).where("enough").count() < 4 * near_duplicates.FULL * n
         signed.unpersist()
