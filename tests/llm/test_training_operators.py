@@ -250,9 +250,12 @@ def test_p3_shared_preamble(spark, tmp_path, monkeypatch):
     rows = [{"sample_id": i, "split": ("train", "eval")[i % 2], "source": "s", "question": start + t} for i, t in enumerate(own)]
     rows += [{"sample_id": 5000 + i, "split": ("eval", "train")[i % 2], "source": "s", "question": start + edited(r, own[i], 2)} for i in range(100)]
     texts = overlap.side_texts(overlap.sides(spark, make(spark, tmp_path, split_rows=rows)).select("held", "question")).cache()
-    indexes, streams, total = overlap.shard_sizes(texts)
-    assert indexes.max() > 1 and streams.max() > 1
-    got = overlap.candidate_pairs(overlap.routed_windows(texts, indexes, streams), 4, 0.6).count()
+    parts, total = overlap.shard_sizes(texts)
+    assert parts.max() > 1
+    routed = overlap.routed_windows(texts, parts).cache()
+    assert routed.where("what < (1L << 62)").count() == total
+    got = overlap.candidate_pairs(routed, 4, 0.6).count()
+    routed.unpersist()
     texts.unpersist()
     assert 100 <= got < 2000
 
