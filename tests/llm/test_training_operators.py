@@ -401,6 +401,22 @@ def test_p7_pack(spark):
     assert sorted(per[1]) == [(1, 0, 2048), (2, 2048, 2048), (3, 4096, 904)] and per[2] == [(1, 0, 2048)] and len(per[6]) == 2 and set(per) == {1, 2, 5, 6}
 
 
+def test_p7_containers_are_full(spark):
+    data = DATA.replace("sf0.001", "sf0.01")
+    if not os.path.isdir(data):
+        pytest.skip("test data not there")
+    rows = packing.p7_containers(spark, data).collect()
+    filled, per = {}, {}
+    for r in rows:
+        filled[r["container"]] = filled.get(r["container"], 0) + r["n_tokens"]
+        per.setdefault(r["doc_id"], []).append(r["n_tokens"])
+    assert max(filled.values()) <= packing.CAPACITY
+    assert sum(filled.values()) >= 0.99 * packing.CAPACITY * len(filled)
+    assert all(len(x) == -(-sum(x) // packing.CAPACITY) for x in per.values())
+    texts = {r["doc_id"] for r in spark.read.parquet(f"{data}/documents.parquet").where("length(text) > 0").select("doc_id").collect()}
+    assert set(per) == texts
+
+
 def test_p8_disguises_and_innocents():
     w = abuse.train([], [], [("idiot", 3)])
     bad = ["You are a worthless idiot and everybody knows it.", "You are a worthless i*d*i*o*t and everybody knows it", "y0u are a w0rthless id1ot and everybody knows it", "你这个白*痴，滚出去。", "你这个白​痴，滚出去。"]
