@@ -11,11 +11,19 @@ from pyspark.sql import functions as F
 from ..storage import written
 
 BLOCK = 2000
+#: Rows of a group that the greedy scan takes at first, rows and kept rows that one task compares, and rows that one task scans in order.
+FIRST, ROWS, KEPT, SCAN = 4000, 8000, 16_000, 40_000
+
+
+def _rows(df: DataFrame, key: str, group: str, vector: str, threshold: float | str | None) -> DataFrame:
+    """(g, k, v, t): rows that take part, with their group's threshold."""
+    limit = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
+    return df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), limit.cast("double").alias("t"))
 
 
 def _blocks(df: DataFrame, key: str, group: str, vector: str, threshold: float | str | None, block: int) -> DataFrame:
     """(g, x, y, b, k, v, t): rows of a group dealt by hash into blocks; a row of block b stands at every block pair (x, y) it is part of."""
-    rows = df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)).cast("double").alias("t"))
+    rows = _rows(df, key, group, vector, threshold)
     sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("__b"))
     placed = rows.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("k"), F.col("__b")).cast("int"))
     # a row of block b takes part in the block pairs (b, c) and (c, b), named by the smaller block first
@@ -23,12 +31,16 @@ def _blocks(df: DataFrame, key: str, group: str, vector: str, threshold: float |
     return to.select("g", F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"), "b", "k", "v", "t")
 
 
+def _units(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.to_numpy())
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.where(n < 1e-10, 0.0, m / np.where(n < 1e-10, 1.0, n))
+
+
 def _product(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Cosines of one block pair, which of them stand for a pair of the result (each pair once), and the keys of both sides."""
     x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-    m = np.stack(pdf["v"].to_numpy())
-    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    m = np.where(n < 1e-10, 0.0, m / np.where(n < 1e-10, 1.0, n))
+    m = _units(pdf["v"])
     k, b = pdf["k"].to_numpy(), pdf["b"].to_numpy()
     left, right = np.flatnonzero(b == x), np.flatnonzero(b == y)
     s = m[left] @ m[right].T
@@ -83,15 +95,99 @@ def greedy_rounds(edges: DataFrame) -> DataFrame:
     return state
 
 
-def greedy_dedup(df: DataFrame, key: str, group: str, vector: str, threshold: float | str) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, removed pairs (j, i, sim)): each removed row with the first kept neighbour that removed it."""
-    edges = written(similar_pairs(df, key, group, vector, threshold), "greedy-pairs")
-    state = greedy_rounds(edges)
-    gone = state.where("removed").select(F.col("node").alias(key))
-    kept = df.join(gone, key, "left_anti")
-    alive = state.where("NOT removed").select(F.col("node").alias("i"))
-    first = edges.join(alive, "i").join(gone.select(F.col(key).alias("j")), "j").groupBy("j").agg(F.min(F.struct("i", "sim")).alias("x")).select("j", "x.i", "x.sim")
-    return kept, first
+def _against(rows: DataFrame, kept: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` of every block of rows and block of kept rows (``own``) of a group; ``blocks`` tells how many kept blocks a row meets."""
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("__n")).join(kept.groupBy("g").agg(F.ceil(F.count("*") / KEPT).cast("int").alias("blocks")), "g")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one_of = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    new = rows.join(sizes, "g").select("g", "k", "v", "t", F.lit(False).alias("own"), one_of("__n").alias("x"), all_of("blocks").alias("y"), "blocks")
+    old = kept.join(sizes, "g").select("g", "k", "v", "t", F.lit(True).alias("own"), all_of("__n").alias("x"), one_of("blocks").alias("y"), "blocks")
+    # the rows are few and their comparison is long, so tasks are not merged by size
+    spread = new.unionByName(old).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "x", "y")
+    return spread.groupBy("g", "x", "y").applyInPandas(fn, schema)
+
+
+def _surviving(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block that no kept row of the other block removes."""
+    old = pdf["own"].to_numpy(bool)
+    new, m, t = pdf[~old], _units(pdf["v"]), pdf["t"].iloc[0]
+    left, right = m[~old], m[old].T
+    alive = np.ones(len(left), bool)
+    for i in range(0, len(left), 500):
+        alive[i : i + 500] = ~(left[i : i + 500] @ right > t).any(axis=1) if right.shape[1] else True
+    return new.loc[alive, ["g", "k", "v", "t", "blocks"]]
+
+
+def _scanned(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a group that a scan in order keeps."""
+    pdf = pdf.sort_values("k", ignore_index=True)
+    m, t, n = _units(pdf["v"]), pdf["t"].iloc[0], 0
+    kept, alive = np.empty_like(m), np.ones(len(m), bool)
+    for i in range(0, len(m), 500):
+        part = m[i : i + 500]
+        own = alive[i : i + 500]
+        if n:
+            own &= ~(part @ kept[:n].T > t).any(axis=1)
+        near = np.triu(part @ part.T > t, 1)
+        for x in range(len(part)):
+            if own[x]:
+                own &= ~near[x]
+        some = part[own]
+        kept[n : n + len(some)] = some
+        n += len(some)
+    return pdf.loc[alive, ["g", "k", "v", "t"]]
+
+
+def greedy_dedup(df: DataFrame, key: str, group: str, vector: str, threshold: float | str, *, first: int = FIRST, scan: int = SCAN) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, removed pairs (j, i, sim)): each removed row with the first kept neighbour that removed it.
+
+    A group's rows are taken in order in portions, about ``first`` rows and then as many as there were before. A portion's rows
+    meet the kept ones of the portions before, block by block, and what is left is scanned: in one task up to ``scan`` rows, else
+    by rounds over its similar pairs. So no list of all similar pairs is made, which grows with the square of a group of
+    near-duplicates; rows are compared with kept rows only. Equal to the sequential scan.
+    """
+    kind = df.schema[group].dataType.simpleString()
+    rows = _rows(df, key, group, vector, threshold)
+    # any cut in the key's order serves, so approximate quantiles (1/2, 1/4, ...) do
+    halves = F.array(*[F.lit(0.5**j) for j in range(1, 21)])
+    sizes = rows.groupBy("g").agg(F.least(F.lit(20), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / first)))).cast("int").alias("__j"), F.percentile_approx("k", halves, 10_000).alias("__q"))
+    portion = F.col("__j") - F.size(F.filter(F.slice("__q", F.lit(1), F.col("__j")), lambda x: F.col("k") <= x))
+    dealt = written(rows.join(sizes, "g").select("g", "k", "v", "t", portion.alias("portion")).sortWithinPartitions("portion"), "greedy-rows")
+    shape = f"g {kind}, k long, v array<double>, t double"
+    kept = None
+    for p in range((dealt.agg(F.max("portion")).first()[0] or 0) + 1):
+        left = dealt.where(F.col("portion") == p).select("g", "k", "v", "t")
+        if kept is not None:
+            alive = _against(left, kept, _surviving, shape + ", blocks int")
+            left = written(alive.groupBy("g", "k").agg(F.first("v").alias("v"), F.first("t").alias("t"), F.count("*").alias("n"), F.first("blocks").alias("blocks")).where("n = blocks").select("g", "k", "v", "t"), "greedy-left")
+        large = left.groupBy("g").count().where(F.col("count") > scan).select("g")
+        if large.isEmpty():
+            new = left.groupBy("g").applyInPandas(_scanned, shape)
+        else:
+            hot = left.join(large, "g", "left_semi")
+            gone = greedy_rounds(similar_pairs(hot, "k", "g", "v", "t")).where("removed").select(F.col("node").alias("k"))
+            new = left.join(large, "g", "left_anti").groupBy("g").applyInPandas(_scanned, shape).unionByName(hot.join(gone, "k", "left_anti").select("g", "k", "v", "t"))
+        new = written(new, "greedy-kept")
+        kept = new if kept is None else kept.unionByName(new)
+    gone = dealt.select("g", "k", "v", "t").join(kept.select("k"), "k", "left_anti")
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        old = pdf["own"].to_numpy(bool)
+        m, k, t = _units(pdf["v"]), pdf["k"].to_numpy(), pdf["t"].iloc[0]
+        order = np.flatnonzero(old)[np.argsort(k[old])]
+        out, new = [], np.flatnonzero(~old)
+        for i in range(0, len(new), 500):
+            part = new[i : i + 500]
+            s = m[part] @ m[order].T
+            hit = (s > t) & (k[order][None, :] < k[part][:, None])
+            if not len(order):
+                continue
+            at, some = hit.argmax(axis=1), hit.any(axis=1)
+            out.append(pd.DataFrame({"j": k[part[some]], "i": k[order[at[some]]], "sim": s[np.flatnonzero(some), at[some]]}))
+        return pd.concat(out) if out else pd.DataFrame({"j": np.zeros(0, np.int64), "i": np.zeros(0, np.int64), "sim": np.zeros(0)})
+
+    pairs = _against(gone, kept, nearest, "j long, i long, sim double").groupBy("j").agg(F.min(F.struct("i", "sim")).alias("x")).select("j", "x.i", "x.sim")
+    return df.join(gone.select(F.col("k").alias(key)), key, "left_anti"), pairs
 
 
 def sampled_pairs(df: DataFrame, key: str, group: str, size: int, seed: int) -> DataFrame:

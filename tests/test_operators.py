@@ -2,6 +2,7 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,3 +350,28 @@ def test_folders_are_swept(spark):
     assert not storage.exists(spark, a._lectern_folder) and b.count() == 3
     storage.sweep(b._lectern_folder)
     assert not storage.exists(spark, b._lectern_folder)
+
+
+def test_greedy_scan_lists_no_pairs_of_a_family(spark, monkeypatch):
+    from lectern.operators import similar
+
+    r = random.Random(11)
+    rows = [(i, r.choice("st"), [r.choice([1.0, 1.0, 0.9, 0.2]) for _ in range(6)]) for i in range(900)] + [(-5, "s", None), (1000, "t", [0.0] * 6), (1001, "t", [0.0] * 6)]
+    df = spark.createDataFrame(rows, "k long, g string, v array<double>")
+    cos = lambda a, b: float(np.dot(a, b) / max(1e-30, np.linalg.norm(a) * np.linalg.norm(b)))
+    kept, pairs = {}, {}
+    for k, g, v in sorted(rows):
+        near = [i for i in kept if v and kept[i][1] and kept[i][0] == g and cos(kept[i][1], v) > 0.97]
+        if near:
+            pairs[k] = min(near)
+        else:
+            kept[k] = (g, v)
+    listed = []
+    whole = similar.similar_pairs
+    monkeypatch.setattr(similar, "similar_pairs", lambda *a, **b: listed.append(1) or whole(*a, **b))
+    got, gone = similar.greedy_dedup(df, "k", "g", "v", 0.97, first=30)
+    assert {x["k"] for x in got.collect()} == set(kept) and {x["j"]: x["i"] for x in gone.collect()} == pairs
+    assert len(pairs) > 300 and not listed
+    got, gone = similar.greedy_dedup(df, "k", "g", "v", 0.97, first=200, scan=40)
+    assert {x["k"] for x in got.collect()} == set(kept) and {x["j"]: x["i"] for x in gone.collect()} == pairs
+    assert listed
