@@ -492,3 +492,22 @@ def test_normalisation_and_hashes():
     h = text_hashes(cp, off)
     assert h[0] == h[2] and h[1] == h[3] != h[0]
     assert re.fullmatch(r"\w+", strings(cp, off)[0].as_py())
+
+
+def spaced_edits(seed, n, length, first, step):
+    """Pairs of random texts and versions with single letters replaced at even distances; all reach 0.6."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        t = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(length))
+        u = list(t)
+        for i in range(first, length - first, step):
+            u[i] = r.choice("0123456789")
+        out += [t, "".join(u)]
+    assert all(jaccards(out[i : i + 2])[0, 1] >= 0.6 for i in range(0, 2 * n, 2))
+    return out
+
+
+def test_p1_leaves_no_pair_at_the_threshold_out(spark):
+    texts = spaced_edits(5, 400, 200, 6, 12)
+    assert p1_links(spark, texts) == {(i, i + 1) for i in range(0, len(texts), 2)}
