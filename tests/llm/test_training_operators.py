@@ -511,3 +511,10 @@ def spaced_edits(seed, n, length, first, step):
 def test_p1_leaves_no_pair_at_the_threshold_out(spark):
     texts = spaced_edits(5, 400, 200, 6, 12)
     assert p1_links(spark, texts) == {(i, i + 1) for i in range(0, len(texts), 2)}
+
+
+def test_p3_leaves_no_pair_at_the_threshold_out(spark, tmp_path):
+    texts = spaced_edits(6, 400, 45, 9, 11)
+    rows = [{"sample_id": i, "split": ["train", "test"][i % 2], "source": "s", "question": t} for i, t in enumerate(texts)]
+    got = {(x["sample_id_a"], x["sample_id_b"]) for x in overlap.p3_found(spark, make(spark, tmp_path, split_rows=rows)).collect()}
+    assert got == {(i, i + 1) for i in range(0, len(texts), 2)}
