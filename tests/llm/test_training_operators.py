@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -518,3 +519,38 @@ def test_p3_leaves_no_pair_at_the_threshold_out(spark, tmp_path):
     rows = [{"sample_id": i, "split": ["train", "test"][i % 2], "source": "s", "question": t} for i, t in enumerate(texts)]
     got = {(x["sample_id_a"], x["sample_id_b"]) for x in overlap.p3_found(spark, make(spark, tmp_path, split_rows=rows)).collect()}
     assert got == {(i, i + 1) for i in range(0, len(texts), 2)}
+
+
+def test_complete_blocks_are_written_few_times(spark, monkeypatch):
+    from lectern.llm import complete
+
+    monkeypatch.setattr(complete, "BLOCK", (40, 250_000))
+    rng = np.random.default_rng(3)
+    count = rng.integers(60, 120, 1600)
+    rows = spark.createDataFrame(pd.DataFrame({"cls": np.arange(1600), "held": False, "count": count, "other": count // 2, "sketch": [bytes(16)] * 1600}), "cls long, held boolean, count int, other int, sketch binary")
+    to, met = complete.met_blocks(rows, 0.6)
+    told = to.select("cls", "block", "x", "y").toPandas()
+    assert told["cls"].nunique() == 1600 and (told.groupby("cls")["block"].nunique() == 1).all()
+    assert len(told) <= 8 * 1600 and met <= 28  # each text went to 16 pairs of blocks and more
+
+
+def test_complete_part_of_a_sketch_drops_no_pair():
+    from lectern.llm import complete
+
+    rng = np.random.default_rng(4)
+    n = 900
+    base = rng.integers(0, 2**32, (n, 260))
+    texts = [base[i // 3, : 70 + 60 * (i // 3 % 4)].copy() for i in range(n)]
+    for i, x in enumerate(texts):
+        x[: len(x) * (i % 3) // 9] = base[i, : len(x) * (i % 3) // 9]
+    count = np.array([len(x) for x in texts])
+    sketch = []
+    for x in texts:
+        bits = int(np.clip(2 ** np.ceil(np.log2(2 * len(x))), complete.LEAST_BITS, complete.MOST_BITS))
+        sketch.append(np.packbits(np.bincount(x % bits, minlength=bits).astype(np.uint8) & 1).tobytes())
+    pdf = pd.DataFrame({"x": "a", "y": "a", "block": "a", "cls": np.arange(n), "held": False, "count": count, "other": count // 2, "sketch": sketch})
+    got = complete.blocks_met(pdf, 0.6, False)
+    sets = [set(x.tolist()) for x in texts]
+    near = {(i, j) for i in range(n) for j in range(i + 1, n) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
+    found = list(zip(got["a"], got["b"]))
+    assert len(near) > 250 and near <= set(found) and len(found) == len(set(found)) < 2 * len(near)
