@@ -1,9 +1,10 @@
 """Problem 2: question-answer pairs whose answer does not answer, with the kind of defect.
 
-A multi-label linear classifier on hashed n-grams and pair features, trained on the data itself: a bounded sample of pairs is
-taken as sound, and from each pair defective ones are made (emptied, cut off, refused, copied, swapped with another pair's
-answer in the same or another language). A first model finds defects among the presumed sound pairs; without them a second
-one is trained, and thresholds are set on pairs kept out of training.
+A multi-label linear classifier on hashed n-grams and pair features, trained on the data itself: all pairs are taken as sound,
+and from each pair defective ones are made (emptied, cut off, refused, copied, swapped with another pair's answer in the same
+or another language). A first model finds defects among the presumed sound pairs; without them a second one is trained, and
+thresholds are set on pairs kept out of training. A large table's pairs are dealt into parts by a hash of the id; each part
+trains a model with its thresholds, and their weights are averaged.
 
 Whether an answer is in the question's language is learned: answers to questions of one script give trigram frequencies, and
 how likely an answer is under those of its question's script is a feature, as is the request to use another language.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_letters, letter_table, mix64, once_fitted, pack_cells, read_table, slices, string_parts, text_hashes, unpack_cells
+from .common import joined_letters, letter_table, mix64, once_fitted, pack_cells, read_table, slices, string_parts, text_hashes, unpack_cells, written
 from .near_duplicates import trigrams
 
 DEFECTS = ("empty", "truncated", "refusal", "copied", "other_language")
@@ -31,8 +32,8 @@ LABELS = (*DEFECTS, "swapped")
 #: Labels that are about question and answer together: they don't look at the answer's n-grams, which tell of the answer alone.
 RELATIONS = ("copied", "other_language", "swapped")
 BITS, LANGUAGE_BITS = 17, 16
-#: Pairs of the data taken for training at most (smallest hash of the id first), steps of training and rows a step.
-SAMPLE, STEPS, BATCH = 3000, 560, 256
+#: Pairs that train one model (a table's models are averaged), steps of its training and rows a step.
+PART, STEPS, BATCH = 3000, 560, 256
 #: Named features lie below this id, n-grams from it on.
 HALF = 1 << (BITS - 1)
 #: Share of pairs with a given defect that is taken to be left among the cleaned sound pairs.
@@ -663,14 +664,47 @@ def train(pairs: list[tuple[str, str]], *, seed: int = 7) -> Model:
     return Model(w, known)
 
 
-def fitted(df: DataFrame, key: str, question: str, answer: str, *, sample: int = SAMPLE, seed: int = 7) -> Model:
-    """A model of the pairs of a table, from at most ``sample`` of them."""
+def fitted(df: DataFrame, key: str, question: str, answer: str, *, part: int = PART, seed: int = 7) -> Model:
+    """A model of all pairs of a table: they are dealt into parts of about ``part`` pairs, each trains a model, and these are averaged."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(question).alias("q"), F.col(answer).alias("a"))
     order = F.xxhash64(F.lit(seed), "k")
-    # hashes below this bound hold about twice the sample, so that few rows are sorted
-    bound = int((min(1.0, 2 * sample / max(1, df.count())) - 0.5) * 2**64 * (1 - 1e-9))
-    taken = rows.where(order <= F.lit(bound)).orderBy(order, "q", "a").limit(sample).collect()
-    return train([(r["q"] or "", r["a"] or "") for r in taken], seed=seed)
+    parts = max(1, -(-rows.count() // part))
+    if parts == 1:
+        return train([(r["q"] or "", r["a"] or "") for r in rows.orderBy(order, "q", "a").collect()], seed=seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple[str, str]] = []
+        at, total = None, None
+
+        def add() -> None:
+            nonlocal total
+            n = int((Masked(pa.array([x for _, x in own], pa.string())).letters > 0).sum())
+            if n:  # others make no examples
+                m = train(own, seed=seed)
+                told = (n, n * m.weights, n * m.spoken)
+                total = told if total is None else tuple(x + y for x, y in zip(total, told))
+            own.clear()
+
+        for batch in batches:
+            for which, q, a in zip(*(c.to_pylist() for c in batch.columns)):
+                if which != at and own:
+                    add()
+                at = which
+                own.append((q or "", a or ""))
+        if own:
+            add()
+        if total is not None:
+            n, *model = total
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *(pa.array([x], pa.binary()) for x in Model(*(x / n for x in model)).packed())], names=["n", "weights", "spoken"])
+
+    tasks = min(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.withColumn("part", F.pmod(order, F.lit(parts))).repartition(tasks, "part").sortWithinPartitions("part", order, "q", "a")
+    models = written(dealt.select("part", "q", "a").mapInArrow(run, "n long, weights binary, spoken binary"), "p2-models")
+    total, weights, spoken = 0, 0.0, 0.0
+    for r in models.orderBy("n", F.xxhash64("weights")).toLocalIterator():  # one of a task
+        m = Model.unpacked((bytes(r["weights"]), bytes(r["spoken"])))
+        total, weights, spoken = total + r["n"], weights + r["n"] * m.weights.astype(float), spoken + r["n"] * m.spoken.astype(float)
+    return Model(weights / total, spoken / total) if total else train([])
 
 
 def defects(df: DataFrame, key: str, question: str, answer: str, model: Model) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lectern.llm import abuse, encoding, near_duplicates, overlap, packing, pair_defects, proportional, queries, splitting
 from lectern.llm.common import joined_letters, string_parts, strings, text_hashes
@@ -554,3 +555,13 @@ def test_complete_part_of_a_sketch_drops_no_pair():
     near = {(i, j) for i in range(n) for j in range(i + 1, n) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
     found = list(zip(got["a"], got["b"]))
     assert len(near) > 250 and near <= set(found) and len(found) == len(set(found)) < 2 * len(near)
+
+
+def test_p2_every_pair_trains(spark):
+    rows = [(i, f"Why does step {i} of the proof hold?", f"It holds since bound {i} was shown before, and the sum is finite.") for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, question string, answer string")
+    last = [r["row_id"] for r in df.orderBy(F.xxhash64(F.lit(7), "row_id")).collect()][60:]
+    other = df.withColumn("answer", F.when(F.col("row_id").isin(last), "Quartz jackdaws vex my big sphinx of whimsy.").otherwise(F.col("answer")))
+    # the pairs with the largest hashes took no part when the sample was smaller than the table
+    one, two = (pair_defects.fitted(x, "row_id", "question", "answer", part=60) for x in (df, other))
+    assert not np.array_equal(one.spoken, two.spoken) and not np.array_equal(one.weights, two.weights)
