@@ -557,6 +557,36 @@ def test_complete_part_of_a_sketch_drops_no_pair():
     assert len(near) > 250 and near <= set(found) and len(found) == len(set(found)) < 2 * len(near)
 
 
+def test_complete_by_rare_trigrams_leaves_no_pair_out(spark, tmp_path, monkeypatch):
+    from lectern.llm import complete
+
+    monkeypatch.setattr(complete, "MANY", 100)
+    monkeypatch.setattr(complete, "RARE_BLOCK", 400)  # several blocks of sizes
+    letters = "abcdefghijklmnopqrstuvwxyzαβγδεζηθικλμνξοπρστυφχψωбвгджзийклмнпртфхцчшщъыьэюя"
+    r, texts = random.Random(8), []
+    for _ in range(500):
+        t = "".join(r.choice(letters) for _ in range(r.choice([20, 40, 70, 120, 200, 320])))
+        cut = r.random()
+        if cut < 0.4:  # a part of the text
+            u = t[: int(len(t) * r.uniform(0.6, 1)) + 2]
+        else:  # letters replaced at even distances
+            u = list(t)
+            for i in range(5, len(t) - 5, 12 if cut < 0.8 else 10):
+                u[i] = r.choice("0123456789")
+            u = "".join(u)
+        texts += [t, u]
+    sim = jaccards(texts)
+    near = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if sim[i, j] >= 0.6 and texts[i] != texts[j]}
+    assert len(near) > 300
+    share = complete.frequencies(near_duplicates.normalised(spark.createDataFrame([(t,) for t in texts], "t string"), ["t"]))
+    key = complete.keys(*joined_letters(pa.array(texts[:900])))
+    assert complete.frequent(key, 900, share).mean() < 0.3  # most texts are not compared with all others
+    assert {p for p in p1_links(spark, texts) if texts[p[0]] != texts[p[1]]} == near
+    rows = [{"sample_id": i, "split": ["train", "test"][i % 2], "source": "s", "question": t} for i, t in enumerate(texts)]
+    got = {(x["sample_id_a"], x["sample_id_b"]) for x in overlap.p3_found(spark, make(spark, tmp_path, split_rows=rows)).collect()}
+    assert {p for p in got if texts[p[0]] != texts[p[1]]} == {p for p in near if (p[0] + p[1]) % 2}
+
+
 def test_p2_every_pair_trains(spark):
     rows = [(i, f"Why does step {i} of the proof hold?", f"It holds since bound {i} was shown before, and the sum is finite.") for i in range(120)]
     df = spark.createDataFrame(rows, "row_id long, question string, answer string")
