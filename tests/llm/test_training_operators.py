@@ -595,3 +595,17 @@ def test_p2_every_pair_trains(spark):
     # the pairs with the largest hashes took no part when the sample was smaller than the table
     one, two = (pair_defects.fitted(x, "row_id", "question", "answer", part=60) for x in (df, other))
     assert not np.array_equal(one.spoken, two.spoken) and not np.array_equal(one.weights, two.weights)
+
+
+def test_p2_goes_on_from_a_first_model_with_every_pair_once():
+    pairs = [(f"Why does step {i} of the proof hold?", f"It holds since bound {i} was shown before. The sum {i * 7} is finite, as every term is.") for i in range(60)]
+    pairs[7] = ("为什么第三步的证明在这种情形下仍然成立？", pairs[7][1])  # no answer is in this question's script
+    known = pair_defects.told_languages(*pair_defects.language_counts(pairs, [q for q, _ in pairs]))
+    wide = (1 << pair_defects.BITS) + 1
+    begin = [np.zeros((len(pair_defects.LABELS), wide)), np.full((len(pair_defects.LABELS), wide), 1e-4)]
+    w = pair_defects.gone_on(pairs, known, begin)
+    other = pair_defects.gone_on([*pairs[:-1], (pairs[-1][0], "Quartz jackdaws vex my big sphinx of whimsy, it says.")], known, begin)
+    assert not begin[0].any() and np.isfinite(w).all() and not np.array_equal(w, other)
+    for seed in range(20):
+        qs, as_, ys = pair_defects.Maker(pairs, seed).once()
+        assert len(pairs) * 0.9 < sum(y > 0 for y in ys) <= len(pairs)
