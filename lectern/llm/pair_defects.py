@@ -14,6 +14,7 @@ All features come from array operations over the code points of a batch.
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 from collections.abc import Iterator
@@ -367,13 +368,16 @@ def features(questions: pa.Array, answers: pa.Array, known: np.ndarray) -> tuple
 
 
 def scores(off: np.ndarray, idx: np.ndarray, val: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Rows by labels: the linear scores, offsets included."""
+    """Rows by labels: the linear scores, offsets included. Weights of relations lie in named features only."""
     out = np.empty((len(off) - 1, weights.shape[1]))
-    filled = np.flatnonzero(np.diff(off) > 0)
+    few = np.flatnonzero(idx < HALF)
+    near = np.concatenate([[0], np.cumsum(idx < HALF)])[off]
     for k in range(weights.shape[1]):
         out[:, k] = weights[-1, k]
+        begin, i, x = (near, idx[few], val[few]) if LABELS[k] in RELATIONS else (off, idx, val)
+        filled = np.flatnonzero(np.diff(begin) > 0)
         if len(filled):
-            out[filled, k] += np.add.reduceat(weights[:-1, k][idx] * val, off[:-1][filled])
+            out[filled, k] += np.add.reduceat(np.ascontiguousarray(weights[:-1, k])[i] * x, begin[:-1][filled])
     return out
 
 
@@ -388,6 +392,7 @@ def fit(off: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, *, ste
     share = np.maximum(1, y.sum(axis=0))
     balance = np.where(y > 0, 0.5 * n / share, 0.5 * n / np.maximum(1, n - share)) / BATCH
     balance = np.minimum(balance, 4.0 / BATCH)
+    held, where = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int64)
     for _ in range(1 if further else -(-steps * BATCH // max(1, n))):
         order = rng.permutation(n)
         for i in range(0, n, BATCH):
@@ -395,16 +400,23 @@ def fit(off: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, *, ste
             count = size[rows]
             at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(off[rows], count)
             own, ids, x = np.repeat(np.arange(len(rows)), count), idx[at], val[at]
-            used, place = np.unique(ids, return_inverse=True)
+            held[ids] = True
+            used = np.flatnonzero(held)
+            held[used] = False
+            where[used] = np.arange(len(used))
+            place = where[ids]
+            # relations have weights in named features only, which come first
+            named = np.flatnonzero(ids < HALF)
+            sides = (own, used, place, x), (own[named], used[used < HALF], place[named], x[named])
             for k in range(y.shape[1]):
-                mine = w[k, used]
-                z = np.bincount(own, weights=mine[place] * x, minlength=len(rows)) + w[k, -1]
+                row, mine_at, to, value = sides[LABELS[k] in RELATIONS]
+                mine = w[k, mine_at]
+                z = np.bincount(row, weights=mine[to] * value, minlength=len(rows)) + w[k, -1]
                 err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows, k]) * balance[rows, k]
-                g = np.bincount(place, weights=err[own] * x, minlength=len(used)) + decay * mine
-                if LABELS[k] in RELATIONS:
-                    g[used >= HALF] = 0
-                seen[k, used] += g * g
-                w[k, used] = mine - rate * g / np.sqrt(seen[k, used])
+                g = np.bincount(to, weights=err[row] * value, minlength=len(mine_at)) + decay * mine
+                total = seen[k, mine_at] + g * g
+                seen[k, mine_at] = total
+                w[k, mine_at] = mine - rate * g / np.sqrt(total)
                 b = err.sum()
                 seen[k, -1] += b * b
                 w[k, -1] -= rate * b / np.sqrt(seen[k, -1])
@@ -418,11 +430,18 @@ class Maker:
 
     def __init__(self, pairs: list[tuple[str, str]], seed: int = 7):
         self.r, self.pairs = random.Random(seed), pairs
-        self.spoken_q = _scripts([q for q, _ in pairs])
-        self.spoken_a = _scripts([a for _, a in pairs])
-        self.by_script: dict[int, list[str]] = {}
-        for (_, a), s in zip(pairs, self.spoken_a):
-            self.by_script.setdefault(s, []).append(a)
+
+    @functools.cached_property
+    def spoken_q(self) -> list[int]:
+        return _scripts([q for q, _ in self.pairs])
+
+    @functools.cached_property
+    def by_script(self) -> dict[int, list[str]]:
+        """Answers by their script."""
+        out: dict[int, list[str]] = {}
+        for (_, a), s in zip(self.pairs, _scripts([a for _, a in self.pairs])):
+            out.setdefault(s, []).append(a)
+        return out
 
     def noise(self, t: str) -> str:
         """Typing noise, which is no defect."""
@@ -639,7 +658,7 @@ def _scripts(texts: list[str]) -> list[int]:
 
 
 def _matrix(qs: list[str], as_: list[str], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    offs, idx, val, at = [np.zeros(1, np.int64)], [], [], 0
+    offs, idx, val, at = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], 0
     for i in range(0, len(qs), 2000):
         o, x, v = features(pa.array(qs[i : i + 2000], pa.string()), pa.array(as_[i : i + 2000], pa.string()), known)
         offs.append(o[1:] + at)

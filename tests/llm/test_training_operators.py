@@ -609,3 +609,15 @@ def test_p2_goes_on_from_a_first_model_with_every_pair_once():
     for seed in range(20):
         qs, as_, ys = pair_defects.Maker(pairs, seed).once()
         assert len(pairs) * 0.9 < sum(y > 0 for y in ys) <= len(pairs)
+
+
+def test_pairs_that_no_defect_is_made_of_train_all_the_same():
+    pairs = [("Is it so?", "Yes")]
+    known = pair_defects.told_languages(*pair_defects.language_counts(pairs, ["Is it so?"]))
+    wide = (1 << pair_defects.BITS) + 1
+    begin = [np.zeros((len(pair_defects.LABELS), wide)), np.full((len(pair_defects.LABELS), wide), 1e-4)]
+    none = [seed for seed in range(20) if not pair_defects.Maker(pairs, seed).once()[2]]
+    assert none
+    for seed in none:
+        w = pair_defects.gone_on(pairs, known, begin, seed=seed)
+        assert w.shape == (wide, len(pair_defects.LABELS)) and np.isfinite(w).all() and w[:-1].any()
