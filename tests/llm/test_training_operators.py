@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lectern.llm import abuse, encoding, near_duplicates, overlap, packing, pair_defects, proportional, queries, splitting
-from lectern.llm.common import joined_letters, string_parts, strings, text_hashes
+from lectern.llm.common import joined_letters, letter_table, string_parts, strings, text_hashes
 from lectern.llm.tokenizers import byte_bpe
 
 DATA = "/root/testdata/sf0.001"
@@ -621,3 +621,26 @@ def test_pairs_that_no_defect_is_made_of_train_all_the_same():
     for seed in none:
         w = pair_defects.gone_on(pairs, known, begin, seed=seed)
         assert w.shape == (wide, len(pair_defects.LABELS)) and np.isfinite(w).all() and w[:-1].any()
+
+
+def test_p1_workers_hold_little_at_once():
+    import tracemalloc
+
+    class Caught:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    letter_table()
+    run = near_duplicates.normalised(Caught(), ["question"])
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i} " + "some words of a text " * 20 for i in range(8000)])], names=["question"])
+    tracemalloc.start()
+    try:
+        rows = sum(len(x) for x in run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # a task of two chained workers takes this twice, and an executor runs two tasks
+    assert rows == 8000 and most < 30e6
